@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a broadcast side may have at most; beyond it the same join is shuffled.
 BROADCAST_ROWS = 500_000
@@ -60,3 +62,38 @@ def held_out(mod: int, rest: int, id_col: str = "doc_id") -> Column:
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
+
+
+def add_columns(df: DataFrame, input_col: str, made: dict[str, str], kernel: Callable[[list], dict[str, list]]) -> DataFrame:
+    """df with further columns that kernel makes from the values of input_col, some at a time. A column of df with the name of a new one goes.
+
+    made: SQL type by name. kernel gets at most ~2 MB of texts at once (or one longer text) and returns a list by name.
+    """
+    import pyarrow as pa
+
+    bounded_batches(df.sparkSession)
+    df = df.drop(*made)
+    arrow = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    at, names = df.columns.index(input_col), [*df.columns, *made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(at).to_pylist()):
+                values = kernel(batch.column(at)[part].to_pylist())
+                own = [c[part] for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(values[k], arrow[v]) for k, v in made.items())], names=names)
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in made.items())])
+    return df.mapInArrow(run, schema)
+
+
+def slices(values: list, mb: float = 2) -> list[slice]:
+    """Stretches of values of at most ~mb MB in all (or one longer value)."""
+    out, start, held = [], 0, 0
+    for i, x in enumerate(values):
+        n = len(x) if x else 0
+        if held and held + n > mb * 1e6:
+            out.append(slice(start, i))
+            start, held = i, 0
+        held += n + 1
+    return [*out, slice(start, len(values))] if values else out

@@ -1,7 +1,7 @@
 """All queries of this subpackage with their SQL, for the entry module."""
 
-from . import exact_dedup, media
+from . import exact_dedup, langid, media, packing, sharding
 
-MODULES = (exact_dedup, media)
+MODULES = (packing, langid, sharding, exact_dedup, media)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
