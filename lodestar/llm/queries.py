@@ -1,7 +1,7 @@
 """All queries of this subpackage with their SQL, for the entry module."""
 
-from . import exact_dedup, langid, media, minhash, packing, sharding
+from . import exact_dedup, langid, media, minhash, packing, sharding, toxicity
 
-MODULES = (packing, langid, sharding, exact_dedup, media, minhash)
+MODULES = (packing, langid, sharding, exact_dedup, toxicity, media, minhash)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
