@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,8 @@ BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lowers A-Z and leaves every other byte alone.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Tables of cut() that are still there.
+_written: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there: later jobs neither recompute it nor lose it with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Writes df as a table in the shared folder and reads it back: later jobs neither recompute it nor lose it with an
+    executor, and see its true size. Tables go when the driver ends, or before by forget().
+
+    A checkpoint would carry the estimated size of its plan along, which multiplies with every join of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(lambda: [_delete(spark, p) for p in list(_written)])
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestar_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that cut() has written, once nothing will read them again."""
+    for df in tables:
+        _delete(df.sparkSession, df._lodestar_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.discard(path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
@@ -64,10 +93,10 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def add_columns(df: DataFrame, input_col: str, made: dict[str, str], kernel: Callable[[list], dict[str, list]]) -> DataFrame:
+def add_columns(df: DataFrame, input_col: str, made: dict[str, str], kernel: Callable[[list], dict[str, list]], mb: float = 2) -> DataFrame:
     """df with further columns that kernel makes from the values of input_col, some at a time. A column of df with the name of a new one goes.
 
-    made: SQL type by name. kernel gets at most ~2 MB of texts at once (or one longer text) and returns a list by name.
+    made: SQL type by name. kernel gets at most ~mb MB of texts at once (or one longer text) and returns a list by name.
     """
     import pyarrow as pa
 
@@ -78,7 +107,7 @@ def add_columns(df: DataFrame, input_col: str, made: dict[str, str], kernel: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(at).to_pylist()):
+            for part in slices(batch.column(at).to_pylist(), mb):
                 values = kernel(batch.column(at)[part].to_pylist())
                 own = [c[part] for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(values[k], arrow[v]) for k, v in made.items())], names=names)

@@ -23,13 +23,14 @@ def connected(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         order = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("o"), F.col(c).alias("id"))
         first = both.groupBy("a").agg(F.min(order("b")).alias("best")).select(F.col("a").alias("old"), F.when(F.col("best") < order("a"), F.col("best.id")).otherwise(F.col("a")).alias("new"))
-        step = common.cut(first)
+        hop = common.cut(first)
         # one jump more: where my new node itself moves on
-        jump = step.select(F.col("old").alias("new"), F.col("new").alias("newer"))
-        step = common.cut(step.join(jump, "new", "left").select("old", F.coalesce("newer", "new").alias("new")))
-        place = common.cut(place.join(step, place["at"] == step["old"], "left").select("node", F.coalesce("new", "at").alias("at")))
-        moved = edges.join(step.select(F.col("old").alias("a"), F.col("new").alias("x")), "a").join(step.select(F.col("old").alias("b"), F.col("new").alias("y")), "b")
-        edges = common.cut(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        turn += 1
+        jump = hop.select(F.col("old").alias("new"), F.col("new").alias("newer"))
+        step = common.cut(hop.join(jump, "new", "left").select("old", F.coalesce("newer", "new").alias("new")))
+        moved = common.cut(place.join(step, place["at"] == step["old"], "left").select("node", F.coalesce("new", "at").alias("at")))
+        ends = edges.join(step.select(F.col("old").alias("a"), F.col("new").alias("x")), "a").join(step.select(F.col("old").alias("b"), F.col("new").alias("y")), "b")
+        merged = common.cut(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        common.forget(edges, place, hop, step)
+        edges, place, turn = merged, moved, turn + 1
     least = place.groupBy("at").agg(F.min("node").alias("component"))
     return common.cut(place.join(least, "at").select("node", "component"))

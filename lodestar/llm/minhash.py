@@ -105,6 +105,7 @@ def forest_links(reps: DataFrame, depth: int = DEPTHS[0]) -> DataFrame:
     order = ["tree", "label", "_id"]
     entry = common.cut(reps.select("_id", "_sig").mapInArrow(entries, "tree int, label binary, _id long"))
     found = common.cut(entry.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, "a long, b long, lcp int, tree int, label binary"))
+    common.forget(entry)
     inner = found.filter("tree is null").select("a", "b", "lcp")
     # first and last entries of the partitions, two rows each: a last one's neighbour is the next first one
     ends = found.filter("tree is not null").withColumns({"next": F.lead(F.struct("a", "tree", "label", "lcp")).over(Window.orderBy("tree", "label", "a", "lcp"))})

@@ -71,7 +71,8 @@ def shard_sizes(n: int, shards: int) -> list[int]:
 
 def deal(df: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 within the shard). Carry narrow columns: df is written once and exchanged once."""
-    kept = common.cut(df.drop("shard", "slot", "_key"))
+    common.shared_dir(df.sparkSession)
+    kept = df.drop("shard", "slot", "_key").checkpoint()
     counts = {r["p"]: r["n"] for r in kept.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     before = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts, default=-1) + 1))]).astype(np.int64)
     n = int(before[-1])
