@@ -7,7 +7,7 @@ probability; the score is that of the family times that of the language.
 
 Machines are fitted on the driver to at most `per_language` labelled rows of each language, chosen by a hash of
 their id; predictions run over Arrow batches. A null text, or one without a letter, is `und` with score 0; so is
-every text if there was nothing to learn from. Columns of the input are carried (lang_pred and score are replaced);
+every text if there was nothing to learn from. Columns of the input are carried (columns named as the new ones are replaced);
 repeated rows are predicted each; an empty table gives no rows.
 """
 
@@ -180,9 +180,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit(np.stack([np.frombuffer(r["_x"], np.float16) for r in rows]).astype(np.float32), [r["_l"] for r in rows])
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score."""
-    return common.add_columns(df, text_col, {"lang_pred": "string", "score": "double"}, model.predict)
+def identify(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df with two columns of these names: the language and its score."""
+    lang, score = names
+    return common.add_columns(df, text_col, {lang: "string", score: "double"}, lambda texts: dict(zip(names, model.predict(texts).values(), strict=True)))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ posterior labels, and scores all texts.
 
 Mining and fitting read at most `sample` labelled rows, chosen by a hash of their id, stratified by label. Scores need
 the text alone. A null or empty text fires nothing and gets the score of that; so do all texts, with score 0, if there
-are no labels of both kinds. Several labels of one document: the highest counts. Columns are carried (score and
-predicted are replaced); repeated rows are scored each; an empty table gives no rows.
+are no labels of both kinds. Several labels of one document: the highest counts. Columns are carried (those named as
+the new ones are replaced); repeated rows are scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -203,9 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(voters, fit_linear(x, post))
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with score and predicted."""
-    return common.add_columns(df, text_col, {"score": "double", "predicted": "int"}, model.predict)
+def score(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """df with two columns of these names: the score, and 1 where it reaches THRESHOLD."""
+    own, predicted = names
+    return common.add_columns(df, text_col, {own: "double", predicted: "int"}, lambda texts: dict(zip(names, model.predict(texts).values(), strict=True)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
