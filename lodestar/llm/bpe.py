@@ -1,14 +1,16 @@
 """Byte-pair encoding and decoding by a table of distinct words.
 
-Texts are normalised and split into words as the tokenizer's file says (special tokens' strings are words of their own).
-Documents are dealt into blocks of some MB. Each block gives its distinct words; all blocks' words are made distinct,
-each of them is encoded once, and its pieces come by a join of its ids with the vocabulary. The encoded words
-join back to the blocks that hold them, and each block's documents take their ids by position from the block's own
-table. So a text is shuffled once, a word once for each block, whatever its frequency, and no task holds more than a
-block and its words.
+A word is a run without white space: no token spans white space in the tokenizers this is for (checked when one is
+loaded), so a text's encoding is that of its words, joined.
 
-Blocks follow the partitions in which Spark reads the input. Should a later read deal them otherwise, words missing
-from a block's table are encoded on the spot, so results don't depend on it.
+1. Each task splits its documents, block by block of some MB. A block leaves its distinct words, dealt into buckets
+   by a hash, and its documents as positions in the block's own word list, compressed.
+2. Each bucket gathers its words of all blocks, encodes each distinct one once, and answers every block.
+3. Answers join their block; documents take their ids by position. Decoded text comes by joining ids with the vocabulary's
+   pieces (decode does so for any table of ids).
+
+So a text is read once and never shuffled, and a word is shuffled once for each block, whatever its frequency. No task
+holds more than a block or a bucket, and both are sized to the input.
 
 A null text counts as empty: no tokens. Repeated rows return each; an empty table gives no rows; of further columns none
 is carried.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of text that a block holds on average.
-BLOCK_BYTES = 12 << 20
-#: The tokenizer's word pattern for characters up to U+024F, without the regex library: letters, one digit, or others.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r \x85\xa0]|_)+")
-RARE = re.compile(r"[^\x00-ɏ]|İ|[\x1c-\x1f]")
+#: Bytes of text that a block holds at most (or one longer text), that a bucket answers for, and documents of a chunk.
+BLOCK_BYTES, BUCKET_BYTES, CHUNK = 24 << 20, 32 << 20, 256
+#: str.split() also splits at these, which are no white space for the tokenizers library.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 EMIT = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 ARROW = {"bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
 
@@ -45,44 +47,47 @@ def tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    if t.encode("a  b", add_special_tokens=False).ids != t.encode("a", add_special_tokens=False).ids + t.encode("b", add_special_tokens=False).ids or t.decoder is not None:
+        raise ValueError(f"{path}: for tokenizers that drop white space and have no decoder")
     return t
 
 
-@functools.lru_cache(4)
-def splitter(path: str) -> tuple[re.Pattern | None, frozenset[str]]:
-    """Pattern of the special tokens' strings, and these."""
-    special = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
-    return (re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None), frozenset(special)
+def split_words(text: str | None) -> list[str]:
+    """The words of a text in order."""
+    if not text:
+        return []
+    if any(c in text for c in SEPARATORS):
+        return [w for w in SPACE.split(text) if w]
+    return text.split()
 
 
-@functools.lru_cache(1)
-def byte_of_char() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+class Index(dict):
+    """Numbers for keys in the order in which they are first asked for."""
 
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
-def split_words(text: str | None, path: str) -> list[str]:
-    """The words of a text in order, normalised; encoding them one by one and joining gives the encoding of the text."""
-    if not text:
-        return []
-    pattern, special = splitter(path)
-    out: list[str] = []
-    for piece in pattern.split(text) if pattern and "<|" in text else (text,):
-        if piece in special:
-            out.append(piece)
-        elif not RARE.search(piece):
-            out += WORD.findall(unicodedata.normalize("NFC", piece).lower())
-        elif piece:  # beyond Latin, the library itself normalises and splits
-            t, back = tokenizer(path), byte_of_char()
-            for word, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(piece)):
-                out.append(bytes(back[c] for c in word).decode("utf-8", "replace"))
-    return out
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.uint32, len(keys))
 
 
-def encode_words(words: list[str], path: str) -> list[list[int]]:
-    return [e.ids for e in tokenizer(path).encode_batch(words, add_special_tokens=False)]
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint32)
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
+
+
+def text_blob(words: list[str]) -> tuple[bytes, int]:
+    raw = "\n".join(words).encode()
+    return pa.compress(raw, "zstd", asbytes=True), len(raw)
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -99,95 +104,129 @@ def decode(df: DataFrame, path: str, key: str, ids_col: str = "ids", text_col: s
     return single.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias(text_col))
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, pieces) of distinct words: ids as decimal numbers, pieces as decoding joins them, both with single spaces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            ids = encode_words(column.to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([column, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    encoded = words.mapInArrow(run, "word string, ids array<int>")
-    pieces = F.broadcast(vocabulary(words.sparkSession, path))
-    single = encoded.select("word", F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
-    together = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
-    by_word = single.groupBy("word").agg(together.alias("all"))
-    part = lambda name: F.array_join(F.transform("all", lambda x: x[name].cast("string")), " ").alias("pieces" if name == "piece" else "ids")
-    return by_word.select("word", part("id"), part("piece"))
-
-
-def _blocked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _text, _block."""
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
-    total, parts = df.select(size.alias("n"), F.spark_partition_id().alias("p")).agg(F.sum("n"), F.max("p")).first()
-    per_part = int((total or 0) // ((parts or 0) + 1) // BLOCK_BYTES) + 1
-    block = F.spark_partition_id().cast("long") * per_part + F.pmod(F.xxhash64(id_col, size), F.lit(per_part))
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), block.alias("_block"))
-
-
-def _words_of(blocked: DataFrame, path: str) -> DataFrame:
-    """Distinct (_block, word), as far as one task sees a block."""
+def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: bool) -> DataFrame:
+    """Documents of a block (bucket null: ids, lens, blob of positions) and its words by bucket (lens: bytes; blob of words, at: their positions)."""
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = "block string, bucket int, ids array<" + kind + ">, lens array<int>, blob binary, at binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, words in seen.items():
-                own = list(words)
-                for a in range(0, len(own), 20_000):
-                    part = own[a : a + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["_block", "word"])
-            seen.clear()
+        from pyspark import TaskContext
+
+        part, turn = TaskContext.get().partitionId(), 0
+        index, docs, held, id_type = Index(), [], 0, None
+
+        def row(bucket: int | None, ids: list, lens: list[int], blob: bytes, at: bytes) -> pa.RecordBatch:
+            values = [pa.array([f"{part}-{turn}"]), pa.array([bucket], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([lens], pa.list_(pa.int32())), pa.array([blob], pa.binary()), pa.array([at], pa.binary())]
+            return pa.RecordBatch.from_arrays(values, names=["block", "bucket", "ids", "lens", "blob", "at"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            # capitals of plain words don't matter to a tokenizer that lowers them, but special tokens' strings do
+            lower = Index()
+            to = lower.numbers([w.lower() if folds and w.isascii() and "<" not in w else w for w in index])
+            for a in range(0, len(docs), CHUNK):
+                own = docs[a : a + CHUNK]
+                yield row(None, [i for i, _ in own], [len(x) for _, x in own], packed(to[np.concatenate([x for _, x in own])] if len(to) else np.empty(0, np.uint32)), b"")
+            by: dict[int, list[str]] = {}
+            for w in lower:
+                by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+            for k, words in by.items():
+                words.sort()
+                blob, n = text_blob(words)
+                yield row(k, [], [len(words), n], blob, packed(lower.numbers(words)))
 
         for batch in batches:
-            for text, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(split_words(text, path))
-            if sum(map(len, seen.values())) > 1_500_000:
-                yield from flush()
-        yield from flush()
-
-    return blocked.select("_text", "_block").mapInArrow(run, "_block bigint, word string")
+            id_type = batch.schema.field(0).type
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                docs.append((i, index.numbers(split_words(text))))
+                held += len(text or "")
+                if held > BLOCK_BYTES:
+                    yield from close()
+                    index, docs, held, turn = Index(), [], 0, turn + 1
+        if docs:
+            yield from close()
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _answers(words: DataFrame, path: str) -> DataFrame:
+    """(block, lens, blob, at): numbers of ids of each word, the ids, and the words' positions in the block."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        asked, table = [], Index()
+        for blob, lens in zip(bucket.column("blob").to_pylist(), bucket.column("lens").to_pylist(), strict=True):
+            asked.append(table.numbers(pa.decompress(blob, lens[1], "zstd", asbytes=True).decode().split("\n")))
+        # each distinct word once
+        encoded = [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(list(table), add_special_tokens=False)]
+        size = np.array([len(x) for x in encoded], np.int64)
+        flat, start = np.concatenate(encoded), np.cumsum(size) - size
+        blobs, sizes = [], []
+        for own in asked:
+            n = size[own]
+            at = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            blobs.append(packed(np.append(n, flat[at])))
+            sizes.append([len(n), int(n.sum())])
+        return pa.table({"block": bucket.column("block"), "lens": pa.array(sizes, pa.list_(pa.int32())), "blob": pa.array(blobs, pa.binary()), "at": bucket.column("at")})
+
+    return words.groupBy("bucket").applyInArrow(run, "block string, lens array<int>, blob binary, at binary")
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", emit: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
-    """id_col and the outputs named in emit (keys of EMIT) for each row of df. path: a tokenizer file of the tokenizers library without decoder, at the same place on all machines."""
+    """id_col and the outputs named in emit (keys of EMIT) for each row of df. path: a tokenizer file of the tokenizers library, at the same place on all machines."""
     if not set(emit) <= set(EMIT):
         raise ValueError(f"emit: of {sorted(EMIT)}")
     common.bounded_batches(df.sparkSession)
-    blocked = _blocked(df, id_col, text_col)
-    used = common.cut(_words_of(blocked, path))
-    table = word_table(used.select("word").distinct(), path)
-    known = used.join(table, "word").select("_block", "word", "ids", "pieces")
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    pieces = [""] * (max(vocab.values()) + 1)  # as many as the tokenizer's file has, whatever the input
+    for piece, i in vocab.items():
+        pieces[i] = piece
+    folds = tokenizer(path).encode("A", add_special_tokens=False).ids == tokenizer(path).encode("a", add_special_tokens=False).ids
+    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    made = common.cut(_blocks(df, id_col, text_col, total // BUCKET_BYTES + 1, folds))
+    answers = _answers(made.filter("bucket is not null").select("block", "bucket", "lens", "blob", "at"), path)
+    docs = made.filter("bucket is null").select("block", "ids", "lens", "blob")
     want = list(emit)
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        ids = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        pieces = dict(zip(words.column("word").to_pylist(), words.column("pieces").to_pylist(), strict=True)) if {"decoded", "decoded_sha256"} & set(want) else {}
+    texts = bool({"decoded", "decoded_sha256"} & set(want))
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        digit = [str(i) for i in range(len(pieces))]
+        sizes = answers.column("lens").to_pylist()
+        n = sum(x[0] for x in sizes)
+        count, ids, decoded = np.zeros(n, np.int64), [""] * n, [""] * n
+        for blob, (words, tokens), at in zip(answers.column("blob").to_pylist(), sizes, answers.column("at").to_pylist(), strict=True):
+            numbers, places = unpacked(blob, words + tokens), unpacked(at, words)
+            count[places] = numbers[:words]
+            flat, a = numbers[words:].tolist(), 0
+            for place, m in zip(places.tolist(), numbers[:words].tolist(), strict=True):
+                own = flat[a : a + m]
+                a += m
+                ids[place] = " ".join([digit[i] for i in own])
+                if texts:
+                    decoded[place] = " ".join([pieces[i] for i in own])
         columns: dict[str, list] = {k: [] for k in want}
-        for chunk in docs.column("_text").chunks:
-            for text in chunk.to_pylist():
-                own = split_words(text, path)
-                try:
-                    digits = " ".join([ids[w] for w in own])
-                except KeyError:
-                    lost = list({w for w in own if w not in ids})
-                    for w, made in zip(lost, encode_words(lost, path), strict=True):
-                        ids[w], pieces[w] = " ".join(map(str, made)), " ".join(map(tokenizer(path).id_to_token, made))
-                    digits = " ".join([ids[w] for w in own])
-                decoded = " ".join([pieces[w] for w in own]) if pieces else ""
+        blank = bool((count == 0).any())
+        for lens, blob in zip(docs.column("lens").to_pylist(), docs.column("blob").to_pylist(), strict=True):
+            flow, a = unpacked(blob, sum(lens)), 0
+            for m in lens:
+                own = flow[a : a + m]
+                a += m
+                if blank:
+                    own = own[count[own] > 0]
+                at = own.tolist()
+                digits = " ".join([ids[i] for i in at])
+                text = " ".join([decoded[i] for i in at]) if texts else ""
                 for k in want:
                     columns[k].append(
-                        digits.count(" ") + bool(digits) if k == "n_tokens"
+                        int(count[own].sum()) if k == "n_tokens"
                         else hashlib.sha256(digits.encode()).hexdigest() if k == "ids_sha256"
                         else np.array(digits.split(), np.int32) if k == "ids"
-                        else decoded if k == "decoded"
-                        else hashlib.sha256(decoded.encode()).hexdigest()
+                        else text if k == "decoded"
+                        else hashlib.sha256(text.encode()).hexdigest()
                     )
-        return pa.table([docs.column("_id"), *(pa.array(columns[k], ARROW[EMIT[k]]) for k in want)], names=[id_col, *want])
+        own_ids = pa.concat_arrays([x for c in docs.column("ids").chunks for x in [c.flatten()]]) if docs.num_rows else pa.array([], docs.schema.field("ids").type.value_type)
+        return pa.table([own_ids, *(pa.array(columns[k], ARROW[EMIT[k]]) for k in want)], names=[id_col, *want])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return blocked.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{k} {EMIT[k]}" for k in want)]))
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{k} {EMIT[k]}" for k in want)]))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
