@@ -10,16 +10,21 @@ U = np.uint64
 ONE, SIX, WORD = U(1), U(6), U(63)
 
 
+#: By bits of a byte and n: position of the byte's n-th set bit.
+IN_BYTE = np.array([([i for i in range(8) if x >> i & 1] + [0] * 8)[:8] for x in range(256)], np.uint8).reshape(-1)
+
+
 def _nth_bit(word: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Position of the n-th (from 0) set bit of each word."""
-    word, n, at = word.copy(), n.copy(), np.zeros(len(word), U)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word & U((1 << width) - 1)).astype(U)
+    at = np.zeros(len(word), U)
+    for width in (32, 16, 8):
+        below = np.bitwise_count(word & U((1 << width) - 1))
         go = n >= below
-        n -= np.where(go, below, U(0))
-        at += np.where(go, U(width), U(0))
-        word = np.where(go, word >> U(width), word)
-    return at
+        n = n - below * go
+        step = go * U(width)
+        at += step
+        word = word >> step
+    return at + IN_BYTE[((word & U(255)) << U(3)) + n]
 
 
 class EliasFano:
@@ -72,36 +77,44 @@ class EliasFano:
     def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one index of the numbers with these high bits."""
         end = self._select(self.zeros, self.high, h, True) - h
-        begin = np.where(h > 0, self._select(self.zeros, self.high, np.maximum(h, ONE) - ONE, True) + ONE, U(0)) - h
-        return begin.astype(np.int64), end.astype(np.int64)
+        behind = self._select(self.zeros, self.high, np.maximum(h, ONE) - ONE, True) + ONE
+        return np.where(h > 0, behind - h, U(0)), end
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first number that is not less than each value, and whether it equals it. Values up to top only."""
+        h, low = values >> U(self.l), values & U((1 << self.l) - 1)
+        begin, end = self._bucket(h)
+        last = end.copy()
+        going = np.flatnonzero(begin < end)
+        while len(going):  # halves, as frequent contexts fill their buckets
+            a, b = begin[going], end[going]
+            middle = (a + b) >> ONE
+            less = self._low(middle) < low[going]
+            begin[going] = a = np.where(less, middle + ONE, a)
+            end[going] = b = np.where(less, b, middle)
+            going = going[a < b]
+        inner = np.flatnonzero(begin < last)
+        equal = np.zeros(len(values), bool)
+        equal[inner] = self._low(begin[inner]) == low[inner]
+        return begin.astype(np.int64), equal
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Index of the first number that is not less than each value; n if there is none."""
         values = np.asarray(values, U)
         out = np.full(len(values), self.n, np.int64)
         inside = np.flatnonzero(values <= U(self.top))
-        if not self.n or not len(inside):
-            return out
-        own = values[inside]
-        at, end = self._bucket(own >> U(self.l))
-        low = own & U((1 << self.l) - 1)
-        going = np.flatnonzero(at < end)
-        while len(going):
-            less = self._low(at[going]) < low[going]
-            going = going[less]
-            at[going] += 1
-            going = going[at[going] < end[going]]
-        out[inside] = at
+        if self.n and len(inside):
+            out[inside] = self._search(values[inside])[0]
         return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is not among the numbers."""
         values = np.asarray(values, U)
-        at = self.successor(values)
-        here = np.flatnonzero(at < self.n)
-        hit = self.get(at[here]) == values[here]
         out = np.full(len(values), -1, np.int64)
-        out[here[hit]] = at[here[hit]]
+        inside = np.flatnonzero(values <= U(self.top))
+        if self.n and len(inside):
+            at, equal = self._search(values[inside])
+            out[inside[equal]] = at[equal]
         return out
 
     def dump(self) -> bytes:

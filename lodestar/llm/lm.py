@@ -61,7 +61,7 @@ def quantise(log10: np.ndarray) -> np.ndarray:
 
 
 def _mapped(name: str) -> np.ndarray:
-    return np.memmap(SparkFiles.get(name), np.uint8, "r")
+    return np.memmap(SparkFiles.get(name), np.uint8, "r").view(np.ndarray)
 
 
 class Vocabulary:
@@ -178,32 +178,33 @@ class Model:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def numbered(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of all tokens, the numbers of their contexts (the vocabulary's size at a text's start), first tokens."""
+    def numbered(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of the distinct tokens (-1: unknown), which of them each token is, and its context (their number at a text's start); first tokens."""
         flow, first = tokens(texts)
-        unique, back = np.unique(flow, return_inverse=True)
-        numbers = _vocabulary(*self.vocabulary).find(unique)[back]
-        context = np.roll(numbers, 1)
-        context[first] = self.distinct
-        return numbers, context, first
+        unique, which = np.unique(flow, return_inverse=True)
+        context = np.roll(which, 1)
+        context[first] = len(unique)
+        return _vocabulary(*self.vocabulary).find(unique), which, context, first
 
     def score(self, texts: list[bytes | None]) -> dict[str, list]:
         if not texts:
             return {k: [] for k in SCORED}
-        numbers, context, first = self.numbered(texts)
-        unique, back = np.unique(numbers, return_inverse=True)
-        counts = _vocabulary(*self.vocabulary).count(unique)
-        base = self.unigram(counts)[back]
+        numbers, which, context, first = self.numbered(texts)
+        counts = _vocabulary(*self.vocabulary).count(numbers)
+        unigram = self.unigram(counts)
+        base = unigram[which]
         log10 = base.copy()
-        known = np.flatnonzero(context >= 0)
-        if self.bigrams and len(known):
-            key = context[known].astype(U) * U(self.distinct + 1) + (numbers[known] + 1).astype(U)
-            key, at, again = np.unique(key, return_index=True, return_inverse=True)
-            contexts, which = np.unique((key // U(self.distinct + 1)).astype(np.int64), return_inverse=True)
-            log10[known] = _bigrams(*self.bigrams).score(contexts, which, numbers[known[at]], base[known[at]])[again]
+        contexts = np.append(numbers, self.distinct)  # ascending but for the unknown, as hashes are
+        if self.bigrams:
+            known = np.flatnonzero(contexts[context] >= 0)
+            wide = len(numbers)
+            pair, again = np.unique(context[known] * wide + which[known], return_inverse=True)
+            of, word = pair // wide, pair % wide
+            used, at = np.unique(of, return_inverse=True)
+            log10[known] = _bigrams(*self.bigrams).score(contexts[used], at, numbers[word], unigram[word])[again]
         sums = lambda x: np.add.reduceat(x, first).tolist()
-        n = np.diff(np.append(first, len(numbers)))
-        return {"n_tokens": n.tolist(), "n_known": sums((counts[back] > 0).astype(np.int64)), "base_score": sums(base), "score": sums(log10)}
+        n = np.diff(np.append(first, len(which)))
+        return {"n_tokens": n.tolist(), "n_known": sums((counts > 0).astype(np.int64)[which]), "base_score": sums(base), "score": sums(log10)}
 
 
 SCORED = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
@@ -276,9 +277,9 @@ def _bigrams_of(rows: DataFrame, model: Model, documents: int, min_count: int) -
 
         for batch in batches:
             for part in common.slices(batch.column(0).to_pylist(), 4):
-                numbers, context, _ = model.numbered(batch.column(0)[part].to_pylist())
-                held.append(context.astype(U) * wide + numbers.astype(U))
-                n += len(numbers)
+                numbers, which, context, _ = model.numbered(batch.column(0)[part].to_pylist())
+                held.append(np.append(numbers, model.distinct).astype(U)[context] * wide + numbers.astype(U)[which])
+                n += len(which)
                 if n > GATHER:
                     yield from out()
                     held, n = [], 0
@@ -338,7 +339,7 @@ def train(rows: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df without text_col, with n_tokens, n_known, base_score and score."""
     rows = df.drop("_text").withColumn("_text", F.col(text_col).cast("binary")).drop(text_col)
-    return common.add_columns(rows, "_text", SCORED, model.score, mb=8).drop("_text")
+    return common.add_columns(rows, "_text", SCORED, model.score).drop("_text")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
