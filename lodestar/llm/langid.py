@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bits of each n-gram order's hash space.
-BITS = 12
+BITS = 11
 ORDERS = (2, 3, 4)
 DIMS = len(ORDERS) << BITS
 #: Bound on the rows of each language that the machines are fitted to.
@@ -149,7 +149,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
         out = []
         for a, b in itertools.combinations(names, 2):
             rows = (of == a) | (of == b)
-            out.append(fit_machine(a, b, x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32)))
+            out.append(fit_machine(a, b, x[rows].astype(np.float32), np.where(of[rows] == a, 1, -1).astype(np.float32)))
         return out
 
     return Model(families, duels(list(families), group), {f: duels(m, label) for f, m in families.items()})
@@ -177,7 +177,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = [r for _, own in itertools.groupby(rows, key=lambda r: r["_l"]) for r in itertools.islice(own, per_language)]
     if not rows:
         return Model({}, [], {})
-    return fit(np.stack([np.frombuffer(r["_x"], np.float16) for r in rows]).astype(np.float32), [r["_l"] for r in rows])
+    x, langs = np.empty((len(rows), DIMS), np.float16), [r["_l"] for r in rows]
+    for i in range(len(x)):  # half precision, and one copy of it only: this is the driver
+        x[i] = np.frombuffer(rows[i]["_x"], np.float16)
+        rows[i] = None
+    return fit(x, langs)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
