@@ -9,7 +9,8 @@ loaded), so a text's encoding is that of its words, joined.
 3. Answers join their block; documents take their ids by position. Decoded text comes by joining ids with the vocabulary's
    pieces (decode does so for any table of ids).
 
-So a text is read once and never shuffled, and a word is shuffled once for each block, whatever its frequency. No task
+The input is read twice, for words and for positions, and must give the same rows in the same order (as files do;
+anything else is told and should be written to a table first). So a text is never shuffled, and a word is shuffled once for each block, whatever its frequency. No task
 holds more than a block or a bucket, and both are sized to the input.
 
 A null text counts as empty: no tokens. Repeated rows return each; an empty table gives no rows; of further columns none
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text that a block holds at most (or one longer text), that a bucket answers for, and documents of a chunk.
-BLOCK_BYTES, BUCKET_BYTES, CHUNK = 24 << 20, 32 << 20, 256
+BLOCK_BYTES, BUCKET_BYTES, CHUNK = 12 << 20, 32 << 20, 256
 #: str.split() also splits at these, which are no white space for the tokenizers library.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -104,8 +105,11 @@ def decode(df: DataFrame, path: str, key: str, ids_col: str = "ids", text_col: s
     return single.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias(text_col))
 
 
-def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: bool) -> DataFrame:
-    """Documents of a block (bucket null: ids, lens, blob of positions) and its words by bucket (lens: bytes; blob of words, at: their positions)."""
+def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: bool, want_docs: bool) -> DataFrame:
+    """Either a block's documents (ids, lens, blob of positions), or its words by bucket (lens: how many, bytes; blob of words, at: their positions).
+
+    A block's name holds a checksum of its word list, so both readings are sure to speak of the same positions.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     schema = "block string, bucket int, ids array<" + kind + ">, lens array<int>, blob binary, at binary"
 
@@ -115,24 +119,25 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: bool
         part, turn = TaskContext.get().partitionId(), 0
         index, docs, held, id_type = Index(), [], 0, None
 
-        def row(bucket: int | None, ids: list, lens: list[int], blob: bytes, at: bytes) -> pa.RecordBatch:
-            values = [pa.array([f"{part}-{turn}"]), pa.array([bucket], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([lens], pa.list_(pa.int32())), pa.array([blob], pa.binary()), pa.array([at], pa.binary())]
+        def row(name: str, bucket: int | None, ids: list, lens: list[int], blob: bytes, at: bytes) -> pa.RecordBatch:
+            values = [pa.array([name]), pa.array([bucket], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([lens], pa.list_(pa.int32())), pa.array([blob], pa.binary()), pa.array([at], pa.binary())]
             return pa.RecordBatch.from_arrays(values, names=["block", "bucket", "ids", "lens", "blob", "at"])
 
         def close() -> Iterator[pa.RecordBatch]:
             # capitals of plain words don't matter to a tokenizer that lowers them, but special tokens' strings do
             lower = Index()
             to = lower.numbers([w.lower() if folds and w.isascii() and "<" not in w else w for w in index])
-            for a in range(0, len(docs), CHUNK):
+            name = f"{part}-{turn}-{zlib.crc32(chr(10).join(lower).encode())}-{len(docs)}"
+            for a in range(0, len(docs) if want_docs else 0, CHUNK):
                 own = docs[a : a + CHUNK]
-                yield row(None, [i for i, _ in own], [len(x) for _, x in own], packed(to[np.concatenate([x for _, x in own])] if len(to) else np.empty(0, np.uint32)), b"")
+                yield row(name, None, [i for i, _ in own], [len(x) for _, x in own], packed(to[np.concatenate([x for _, x in own])] if len(to) else np.empty(0, np.uint32)), b"")
             by: dict[int, list[str]] = {}
-            for w in lower:
+            for w in () if want_docs else lower:
                 by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
             for k, words in by.items():
                 words.sort()
                 blob, n = text_blob(words)
-                yield row(k, [], [len(words), n], blob, packed(lower.numbers(words)))
+                yield row(name, k, [], [len(words), n], blob, packed(lower.numbers(words)))
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -181,9 +186,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         pieces[i] = piece
     folds = tokenizer(path).encode("A", add_special_tokens=False).ids == tokenizer(path).encode("a", add_special_tokens=False).ids
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    made = common.cut(_blocks(df, id_col, text_col, total // BUCKET_BYTES + 1, folds))
-    answers = _answers(made.filter("bucket is not null").select("block", "bucket", "lens", "blob", "at"), path)
-    docs = made.filter("bucket is null").select("block", "ids", "lens", "blob")
+    blocks = functools.partial(_blocks, df, id_col, text_col, total // BUCKET_BYTES + 1, folds)
+    answers = _answers(blocks(False).select("block", "bucket", "lens", "blob", "at"), path)
+    docs = blocks(True).select("block", "ids", "lens", "blob")
     want = list(emit)
     texts = bool({"decoded", "decoded_sha256"} & set(want))
 
@@ -191,6 +196,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         digit = [str(i) for i in range(len(pieces))]
         sizes = answers.column("lens").to_pylist()
         n = sum(x[0] for x in sizes)
+        if not docs.num_rows or (not n and any(map(sum, docs.column("lens").to_pylist()))):
+            raise ValueError("the input gave other rows, or another order, when it was read again: write it to a table first")
         count, ids, decoded = np.zeros(n, np.int64), [""] * n, [""] * n
         for blob, (words, tokens), at in zip(answers.column("blob").to_pylist(), sizes, answers.column("at").to_pylist(), strict=True):
             numbers, places = unpacked(blob, words + tokens), unpacked(at, words)
