@@ -40,7 +40,9 @@ def generate(found: dict[str, DataFrame], query: str, item: str, k: int = 300, q
 
     found: search() results by pool (geo, nb, extra). source: 0 geo, 2 neighbours, 1 elsewhere. gold: (query, item) of
     positives, for labels; with neg_top negatives are thinned.
+    Lists are read several times, so they are persisted; spark.catalog.clearCache() frees them.
     """
+    found = {p: df.persist() for p, df in found.items() if p != NEIGHBORS or nb_quota > 0}
     caps = quotas(k, quota, nb_quota)
     fused = {p: df.filter(F.col("retriever") == FUSED).select(query, item, "rank") for p, df in found.items()}
     parts = [(fused[GEO], caps[0])] + ([(fused[NEIGHBORS], caps[1])] if nb_quota > 0 else []) + [(fused[EXTRA], caps[2])]
@@ -51,8 +53,6 @@ def generate(found: dict[str, DataFrame], query: str, item: str, k: int = 300, q
     lists: DataFrame | None = None
     names: list[str] = []
     for p, df in found.items():
-        if p == NEIGHBORS and nb_quota <= 0:
-            continue
         own = df.withColumn("list", F.concat_ws("_", "retriever", F.lit(p)))
         lists = own if lists is None else lists.unionByName(own)
         names += [f"{r}_{p}" for r in _retrievers(df)]
