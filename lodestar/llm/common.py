@@ -47,15 +47,19 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(lambda: [_delete(spark, p) for p in list(_written)])
-    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestar_path = path
     return out
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    if not _written:
+        atexit.register(lambda: [_delete(spark, p) for p in list(_written)])
+    _written.add(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that cut() has written, once nothing will read them again."""
     for df in tables:
@@ -102,7 +106,7 @@ def add_columns(df: DataFrame, input_col: str, made: dict[str, str], kernel: Cal
 
     bounded_batches(df.sparkSession)
     df = df.drop(*made)
-    arrow = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"string": (pa.string(), T.StringType()), "double": (pa.float64(), T.DoubleType()), "bigint": (pa.int64(), T.LongType()), "int": (pa.int32(), T.IntegerType()), "binary": (pa.binary(), T.BinaryType())}
     at, names = df.columns.index(input_col), [*df.columns, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +114,9 @@ def add_columns(df: DataFrame, input_col: str, made: dict[str, str], kernel: Cal
             for part in slices(batch.column(at).to_pylist(), mb):
                 values = kernel(batch.column(at)[part].to_pylist())
                 own = [c[part] for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(values[k], arrow[v]) for k, v in made.items())], names=names)
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(values[k], kinds[v][0]) for k, v in made.items())], names=names)
 
-    schema = T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in made.items())])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(k, kinds[v][1]) for k, v in made.items())])
     return df.mapInArrow(run, schema)
 
 

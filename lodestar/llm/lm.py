@@ -150,6 +150,7 @@ def _ship(spark: SparkSession, blobs: DataFrame, order: str) -> tuple[str, list[
     """Appends binary rows (order, blob), one at a time, to a file in the shared folder that all workers can map; name and offsets."""
     name = f"lm-{uuid.uuid4().hex}.bin"
     where = f"{common.shared_dir(spark)}/{name}"
+    common.delete_at_exit(spark, where)
     at = spark._jvm.org.apache.hadoop.fs.Path(where)
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
     offsets, n = [], 0
