@@ -10,24 +10,28 @@ from ..functions.stem import stem_word
 from ..functions.text import tokens
 
 
-def terms(df: DataFrame, key: str, text: Column, stemming: bool = False) -> DataFrame:
-    """(key, term, tf) of every row with tokens. With stemming, distinct words are stemmed once and joined back."""
-    words = df.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def terms(df: DataFrame, key: str, text: Column, stemming: bool = False, length: bool = False) -> DataFrame:
+    """(key, term, tf) of every row with tokens; with length also _len, its number of tokens. With stemming, distinct words are stemmed once and joined back."""
+    by = [key, "_len"] if length else [key]
+    split = df.select(key, tokens(text).alias("_tokens")).withColumn("_len", F.size("_tokens"))
+    words = split.select(*by, F.explode("_tokens").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("tf"))
     if not stemming:
         return words
     stems = words.select("term").distinct().withColumn("stem", stem_word("term"))
-    return words.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return words.join(stems, "term").groupBy(*by, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def postings(docs: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, stemming: bool = False) -> DataFrame:
-    """(term, key, tf, df, idf, weight). Documents without tokens count in the number and the mean length of documents."""
-    tf = terms(docs, key, text, stemming)
-    length = tf.groupBy(key).agg(F.sum("tf").alias("_len"))
+    """(term, key, tf, df, idf, weight). Documents without tokens count in the number and the mean length of documents.
+
+    Lengths ride along with the counts, and the total comes from the terms' table, so texts are split in one pass.
+    """
+    tf = terms(docs, key, text, stemming, length=True)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_cf"))
     size = docs.agg(F.count("*").alias("_docs"))
-    total = length.agg(F.coalesce(F.sum("_len"), F.lit(0)).alias("_total"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    total = df.agg(F.coalesce(F.sum("_cf"), F.lit(0)).alias("_total"))
     # one row each: a broadcast of two numbers
-    both = tf.join(length, key).join(df, "term").join(F.broadcast(size)).join(F.broadcast(total))
+    both = tf.join(df.drop("_cf"), "term").join(F.broadcast(size)).join(F.broadcast(total))
     idf = bm25_idf(F.col("_docs"), F.col("df"))
     weighted = both.withColumn("idf", idf).withColumn("weight", bm25_weight(F.col("idf"), F.col("tf"), F.col("_len"), F.col("_total") / F.col("_docs"), k1, b))
     return weighted.select("term", key, "tf", "df", "idf", "weight")

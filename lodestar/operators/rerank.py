@@ -28,7 +28,7 @@ class Preprocessor:
 
     def _raw(self, c: str) -> F.Column:
         x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        return F.log1p(F.greatest(x, F.lit(0.0))) if c in LOG_FEATURES else x
+        return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0)))) if c in LOG_FEATURES else x
 
     def fit(self, df: DataFrame) -> Preprocessor:
         """Two passes over all rows: medians, then moments with them filled in."""
