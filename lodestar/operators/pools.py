@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import clean_list
+from .filters import hard_mask
+
 ALL, FILTERS, GEO, BOTH, NEIGHBORS, FILLED = "none", "filters", "geo", "filters+geo", "neighbors", "geo+fill"
 VARIANTS = (ALL, FILTERS, GEO, BOTH)
 
@@ -14,6 +17,33 @@ def members(pairs: DataFrame, variant: str, mask: Column, in_geo: Column) -> Dat
     return {ALL: pairs, FILTERS: pairs.filter(mask), GEO: pairs.filter(in_geo), BOTH: pairs.filter(mask & in_geo)}[variant]
 
 
+def members_by_filters(keys: DataFrame, items: DataFrame, key: str = "pool", item: str = "item_id") -> DataFrame:
+    """(key, item): the items that pass each distinct filter combination, by equi-joins.
+
+    keys: key and filter (as combo_key makes it). A combination meets items on its category, else on its types, else on
+    its subjects; only those without any of these (booking or nothing at all: two at most) take the whole corpus.
+    """
+    k = keys.select(key, F.col("filter.category").alias("_c"), F.col("filter.subcategories").alias("_s"), F.col("filter.subjects").alias("_j"), F.col("filter.booking").alias("_b"))
+    i = items.select(item, "item_category", "item_subcategory", clean_list(F.col("item_subjects")).alias("item_subjects"), "item_online_booking")
+    mask = hard_mask(F.col("_c"), F.col("_s"), F.col("_j"), F.col("_b"), F.col("item_category"), F.col("item_subcategory"), F.col("item_subjects"), F.col("item_online_booking"))
+    has_c, has_s, has_j = F.col("_c") != "", F.size("_s") > 0, F.size("_j") > 0
+    by_category = k.filter(has_c).join(i, F.col("_c") == F.col("item_category"))
+    by_type = k.filter(~has_c & has_s).withColumn("_x", F.explode("_s")).join(i, F.col("_x") == F.col("item_subcategory")).drop("_x")
+    subjects = i.withColumn("_x", F.explode(F.array_distinct("item_subjects")))
+    by_subject = k.filter(~has_c & ~has_s & has_j).withColumn("_y", F.explode("_j")).join(subjects, F.col("_y") == F.col("_x")).drop("_x", "_y")
+    rest = k.filter(~has_c & ~has_s & ~has_j).join(i.withColumn("_b2", F.explode(F.array(F.lit(True), F.lit(False)))), F.col("_b") == F.col("_b2")).drop("_b2")
+    out = [x.filter(mask).select(key, item) for x in (by_category, by_type, by_subject, rest)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).distinct()
+
+
+def members_by_places(places: DataFrame, items: DataFrame, query: str = "qid", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """Pools (query, pool) and their members (pool, item) for queries' locations (query, loc): queries of the same locations share a pool."""
+    key = F.md5(F.array_join(F.array_sort(F.transform(F.collect_set("loc"), lambda x: x.cast("string"))), ","))
+    pools = places.groupBy(query).agg(key.alias("pool"))
+    distinct = places.join(pools, query).select("pool", "loc").distinct()
+    return pools, distinct.join(items.select(F.col("item_location_id").alias("loc"), item), "loc").select("pool", item).distinct()
+
+
 def pool_sizes(items: DataFrame, loc: str, keys: DataFrame, key: str, mask: Column) -> DataFrame:
     """(key, loc, n, n_passing): items of each location, and those that pass each distinct filter key, from counts per location.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +63,23 @@ def read_vectors(spark: SparkSession, path: str, wanted: DataFrame, key: str, te
     """Vectors of wanted's current texts."""
     stamped = wanted.select(key, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"))
     return spark.read.parquet(path).join(stamped, [key, "text_md5"], "left_semi").dropDuplicates([key])
+
+
+class Stage:
+    """Intermediate tables of one run in a folder of their own: later steps read them instead of growing one huge plan. Closing deletes the folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path, self.n = spark, f"{root}/stage-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at = f"{self.path}/{self.n}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
