@@ -161,7 +161,9 @@ def _answers(words: DataFrame, path: str) -> DataFrame:
         for blob, lens in zip(bucket.column("blob").to_pylist(), bucket.column("lens").to_pylist(), strict=True):
             asked.append(table.numbers(pa.decompress(blob, lens[1], "zstd", asbytes=True).decode().split("\n")))
         # each distinct word once
-        encoded = [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(list(table), add_special_tokens=False)]
+        distinct, encoded = list(table), []
+        for a in range(0, len(distinct), 4096):  # the library's own objects are large
+            encoded += [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(distinct[a : a + 4096], add_special_tokens=False)]
         size = np.array([len(x) for x in encoded], np.int64)
         flat, start = np.concatenate(encoded), np.cumsum(size) - size
         blobs, sizes = [], []
