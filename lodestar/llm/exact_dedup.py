@@ -30,7 +30,7 @@ def _keyed(df: DataFrame, text_col: str) -> DataFrame:
 
 def _survivors(keyed: DataFrame) -> DataFrame:
     """(length, prefix hash) of more than one row, found among lengths of more than one row."""
-    lengths = keyed.groupBy("_ed_len").count().filter("count > 1").select("_ed_len")
+    lengths = common.small(common.cut(keyed.groupBy("_ed_len").count().filter("count > 1").select("_ed_len")))
     return keyed.join(lengths, "_ed_len", "left_semi").groupBy(*KEY).count().filter("count > 1").select(*KEY)
 
 
