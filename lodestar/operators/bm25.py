@@ -14,7 +14,8 @@ def terms(df: DataFrame, key: str, text: Column, stemming: bool = False, length:
     """(key, term, tf) of every row with tokens; with length also _len, its number of tokens. With stemming, distinct words are stemmed once and joined back."""
     by = [key, "_len"] if length else [key]
     split = df.select(key, tokens(text).alias("_tokens")).withColumn("_len", F.size("_tokens"))
-    words = split.select(*by, F.explode("_tokens").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("tf"))
+    # an inner explode would first filter by the size of the same list, and so split every text twice
+    words = split.select(*by, F.explode_outer("_tokens").alias("term")).filter("term is not null").groupBy(*by, "term").agg(F.count("*").alias("tf"))
     if not stemming:
         return words
     stems = words.select("term").distinct().withColumn("stem", stem_word("term"))
@@ -24,10 +25,11 @@ def terms(df: DataFrame, key: str, text: Column, stemming: bool = False, length:
 def postings(docs: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, stemming: bool = False) -> DataFrame:
     """(term, key, tf, df, idf, weight). Documents without tokens count in the number and the mean length of documents.
 
-    Lengths ride along with the counts, and the total comes from the terms' table, so texts are split in one pass.
+    Lengths ride along with the counts, and the total comes from the terms' table, so texts are split once.
     """
     tf = terms(docs, key, text, stemming, length=True)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_cf"))
+    # counting by tf keeps all three readers of tf alike, so its shuffle is done once and reused
+    df = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"), F.sum("tf").alias("_cf"))
     size = docs.agg(F.count("*").alias("_docs"))
     total = df.agg(F.coalesce(F.sum("_cf"), F.lit(0)).alias("_total"))
     # one row each: a broadcast of two numbers

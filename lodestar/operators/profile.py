@@ -66,11 +66,13 @@ def density(df: DataFrame, x: Column, y: Column, width: float) -> DataFrame:
 
 
 def ngram_counts(df: DataFrame, text: Column, n: int) -> DataFrame:
-    return df.select(F.explode(ngrams(tokens(text), n)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    # the words are a column of their own, else each n-gram would split the text anew
+    words = df.select(tokens(text).alias("_words"))
+    return words.select(F.explode_outer(ngrams(F.col("_words"), n)).alias("ngram")).filter("ngram is not null").groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 def token_frequency(df: DataFrame, text: Column, stop: Sequence[str] = (), longer_than: int = 2) -> DataFrame:
-    words = df.select(F.explode(tokens(text)).alias("token")).filter((F.length("token") > longer_than) & ~F.col("token").isin(*stop))
+    words = df.select(F.explode_outer(tokens(text)).alias("token")).filter((F.length("token") > longer_than) & ~F.col("token").isin(*stop))
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
