@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import clean_list, distinct_folded
+from .arrays import distinct_folded
 
 # --- fixed values: keys by group, words that may begin a number or a schedule, values that say nothing -----------
 KEYS = {
@@ -206,6 +206,3 @@ def process_queries(df: DataFrame, column: str = "search_infm_params_text") -> D
 def process_items(df: DataFrame, column: str = "item_infm_params_text") -> DataFrame:
     """df with the item_* columns of an item's parameter text."""
     return _with_fields(df, column, item_params)
-
-
-__all__ = ["KEYS", "ParamRows", "Segmenter", "clean_list", "item_params", "params_text", "process_items", "process_queries", "search_filters", "split_params"]
