@@ -9,9 +9,9 @@
 3. Regions that touch are merged to groups (connected components of the candidates). Within a group, links are
    confirmed exactly, on full sets recomputed from the texts: not all pairs, but every pair that could still connect
    two parts of the group (see link_group).
-4. Depth adapts: a group with more than GROUP_SHINGLES shingles in all is split anew with longer common prefixes,
-   and only such a group. What is still too large at full depth is linked to a pivot, then its unlinked rest, in blocks,
-   against all of the group: exact at any size.
+4. A group with more than GROUP_SHINGLES shingles in all is first split with longer common prefixes, and links inside
+   the pieces are confirmed. That only orders the work: then whatever isn't in the group's largest confirmed component
+   is held, in blocks, against all of the group, so longer prefixes lose no link: exact at any size.
 
 With TREES = 16 and three values, a pair of similarity 0.85 (0.8) is missed with probability 3e-7 (1e-5).
 
@@ -39,6 +39,8 @@ TREES, DEPTH = 16, 8
 DEPTHS = (3, 4, 6, 8)
 #: What one task compares at most in a group: so many shingles are 24 MB.
 GROUP_SHINGLES = 3_000_000
+#: Texts of a group's rest that are always held against the group at once, however long.
+BLOCK_TEXTS = 16
 FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U)) | U(1)
 SHIFTS = mix(np.arange(1001, 1001 + TREES * DEPTH, dtype=U))
 
@@ -176,47 +178,73 @@ def _exact_groups(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return texts.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "a long, b long").filter("a <> b")
 
 
-def _pivot_links(texts: DataFrame, width: int, percent: int, block_shingles: int) -> DataFrame:
-    """Links of groups too large for one task. texts: _group, _id, _text, n_shingles.
+def _held_against(texts: DataFrame, block: list[tuple[int, int, bytes]], width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what block's members (_group, _id, _text) are linked with in their own groups, on full sets.
 
-    Per group, all members are held against one pivot, then those it doesn't link, block by block, against all members.
-    A block is bounded in shingles and is all that is sent to every task.
+    block goes to every task. A task gives each member of texts one link for each part of the block it isn't known to
+    join yet, not one for each pair.
     """
-    spark = texts.sparkSession
-
-    def against(block: list[tuple[int, int, bytes]]) -> DataFrame:
-        queries: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for (g, i, _), s in zip(block, shingle_sets([t for _, _, t in block], width), strict=True):
-            queries.setdefault(g, []).append((i, s))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b = [], []
-                sets = shingle_sets([t or b"" for t in batch.column(2).to_pylist()], width)
-                for g, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
-                    for j, q in queries.get(g, ()):
-                        both = len(np.intersect1d(s, q, assume_unique=True))
-                        if i != j and 100 * both >= percent * (len(s) + len(q) - both):
-                            a.append(i)
-                            b.append(j)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        return texts.select("_group", "_id", "_text").mapInArrow(run, "a long, b long")
-
-    rows = lambda df: [(r["_group"], r["_id"], bytes(r["_text"])) for r in df.collect()]
-    pivots = texts.groupBy("_group").agg(F.min_by("_id", F.xxhash64("_id")).alias("_id")).join(texts, ["_group", "_id"]).dropDuplicates(["_group"])
-    pivot = rows(pivots)
-    links = common.cut(against(pivot))
-    done = links.select(F.col("a").alias("_id")).union(spark.createDataFrame([(i,) for _, i, _ in pivot], "_id long"))
-    rest = texts.join(done, "_id", "left_anti")
-    parts = max(1, -(-int(rest.agg(F.sum("n_shingles")).first()[0] or 0) // block_shingles))
-    rest = rest.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(2 * parts)))
-    if rest.limit(1).count():
-        for k in range(2 * parts):
-            block = rows(rest.filter(F.col("_block") == k))
-            if block:
-                links = links.union(common.cut(against(block)))
-    return links
+    queries: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for (g, i, _), s in zip(block, shingle_sets([t for _, _, t in block], width), strict=True):
+        queries.setdefault(g, []).append((i, s))
+    packed = {}
+    for g, own in queries.items():
+        sizes = np.array([len(s) for _, s in own], np.int64)
+        flat = np.concatenate([s for _, s in own])
+        order = np.argsort(flat, kind="stable")
+        packed[g] = np.array([i for i, _ in own], np.int64), sizes, flat[order], np.repeat(np.arange(len(own)), sizes)[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = {g: np.arange(len(x[0])) for g, x in packed.items()}
+        for batch in batches:
+            a, b = [], []
+            batch = batch.take(pa.array([k for k, g in enumerate(batch.column(0).to_pylist()) if g in packed], pa.int64()))
+            sets = shingle_sets([t or b"" for t in batch.column(2).to_pylist()], width)
+            for g, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
+                ids, sizes, values, owner = packed[g]
+                low = np.searchsorted(values, s)
+                n = np.searchsorted(values, s, side="right") - low
+                both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(ids))
+                near = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
+                part = joined[g]
+                linked, first = np.unique(part[near], return_index=True)
+                if len(linked) > 1:
+                    part[np.isin(part, linked)] = linked[0]
+                other = [j for j in ids[near[first]].tolist() if j != i]
+                a += [i] * len(other)
+                b += other
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return texts.select("_group", "_id", "_text").mapInArrow(run, "a long, b long")
+
+
+def _whole_links(texts: DataFrame, links: DataFrame, pivots: list[int], width: int, percent: int, block_shingles: int) -> DataFrame:
+    """Links that connect the confirmed components of groups too large for one task. texts: _group, _id, _text, n_shingles.
+
+    links are those confirmed so far, inside pieces of the groups. As in link_group, a pair of different components has
+    at least one end outside its group's largest component, so such members are held against all of their group, block
+    by block, until each is tried or has joined the largest: no pair of a group is left out. First of all come the pivots,
+    one for each piece that is itself too large for a task. A block has about block_shingles, and is all that is sent to every task.
+    """
+    state = common.cut(texts.select("_group", "_id", "n_shingles").distinct().withColumn("_tried", F.lit(False)))
+    links = common.cut(links.join(state.select(F.col("_id").alias("a")).distinct(), "a", "left_semi"))
+    while True:
+        part = connected(links)
+        own = state.join(part, state["_id"] == part["node"], "left").withColumn("_part", F.coalesce("component", "_id"))
+        most = own.groupBy("_group", "_part").agg(F.sum("n_shingles").alias("s")).groupBy("_group").agg(F.max(F.struct("s", "_part")).alias("_most"))
+        own = common.cut(own.join(most, "_group").select("_group", "_id", "n_shingles", "_tried", (~F.col("_tried") & (F.col("_part") != F.col("_most._part"))).alias("_open")))
+        common.forget(state, links)
+        n, total = own.filter("_open").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+        if not n:
+            return part.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        now = own.filter(F.col("_id").isin(pivots)) if pivots else own.filter("_open").orderBy(F.xxhash64("_id"), "_id").limit(max(BLOCK_TEXTS, block_shingles * n // max(total, 1)))
+        now = common.cut(now.select("_id").distinct())
+        block = [(r["_group"], r["_id"], bytes(r["_text"])) for r in texts.join(common.small(now), "_id", "left_semi").select("_group", "_id", "_text").distinct().collect()]
+        seen = common.small(now.select("_id", F.lit(True).alias("_now")))
+        state = common.cut(own.join(seen, "_id", "left").select("_group", "_id", "n_shingles", F.coalesce("_now", "_tried").alias("_tried")))
+        links = common.cut(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_held_against(texts, block, width, percent)))
+        common.forget(own, part, now)
+        pivots = []
 
 
 def near_links(df: DataFrame, signed: DataFrame, id_col: str, text_col: str, width: int, percent: int, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -232,7 +260,7 @@ def near_links(df: DataFrame, signed: DataFrame, id_col: str, text_col: str, wid
         # a repeated id may stand for several texts: its class is the one of so many shingles, and one row of it is enough
         return text.join(own, "_id").select("_group", "_id", "_text", "n_shingles")
 
-    links, pending = None, None
+    links, pending, whole = None, None, None
     for depth in DEPTHS:
         edges = candidates.filter(F.col("lcp") >= depth)
         if pending is not None:
@@ -243,9 +271,15 @@ def near_links(df: DataFrame, signed: DataFrame, id_col: str, text_col: str, wid
         made = _exact_groups(with_text(fits), width, percent)
         links = made if links is None else links.union(made)
         if not large.limit(1).count():
-            return links
+            pending = None
+            break
         pending = common.cut(groups.join(large, "component", "left_semi"))
-    return links.union(_pivot_links(common.cut(with_text(pending)), width, percent, group_shingles // 4))
+        whole = pending if whole is None else whole
+    if whole is None:
+        return links
+    pivots = [] if pending is None else [r["i"] for r in pending.groupBy("component").agg(F.min_by("node", F.xxhash64("node")).alias("i")).collect()]
+    links = common.cut(links)
+    return links.union(_whole_links(common.cut(with_text(whole)), links, pivots, width, percent, group_shingles // 4))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_shingles: int = GROUP_SHINGLES) -> DataFrame:

@@ -364,6 +364,19 @@ def test_near_dedup_against_all_pairs(spark, limit):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_dedup_large_groups_keep_links_without_longer_prefixes(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(0, 160, 2):  # pairs of similarity 0.81, of which some share no prefix of eight values
+        own = [f"w{k}x{at}" for at in range(200)]
+        rows.append((k, " ".join(own)))
+        for at in r.permutation(np.arange(5, 195, 3))[:7]:
+            own[at] = f"v{k}x{at}"
+        rows.append((k + 1, " ".join(own)))
+    got = minhash.near_copies(table(spark, rows), width=3, percent=80, group_shingles=300).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(k, k - k % 2) for k, _ in rows}
+
+
 def test_near_dedup_edges(spark, odd, none):
     got = minhash.near_copies(odd, width=3, percent=85).collect()
     assert len(got) == len(ODD)
