@@ -6,9 +6,10 @@ numbers that follow it, each added to the last number of the context before, so
 sequence; a bigram is looked up by a successor search for (its context's base + word number) within the context's
 range. Its smoothed log-probability is stored in 16 bits.
 
-Probabilities: unigrams (c + 0.5) / (N + 0.5 (V + 1)); bigrams of at least MIN_COUNT occurrences by absolute discounting
+Probabilities: unigrams (c + 0.5) / (N + 0.5 (V + 1)); bigrams of at least min_count occurrences by absolute discounting
 (D = 0.75), interpolated with the unigram; what discounts and rarer bigrams leave goes to the back-off weight of their
-context, so each context's probabilities sum to one.
+context, so each context's probabilities sum to one. The query keeps every bigram (min_count = 1); train's default drops
+those seen once.
 
 Counts are taken over all training rows in Spark. Both levels are built in segments by executors, appended one at a
 time to a file in the shared folder and memory-mapped by the workers, each machine fetching the file once; no machine
@@ -345,7 +346,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", common.held_out(5, 1).alias("held_out"))
-    model = train(docs.filter("not held_out"))
+    model = train(docs.filter("not held_out"), min_count=1)
     return score(docs, model).withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 

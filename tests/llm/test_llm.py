@@ -462,6 +462,26 @@ def test_lm_probabilities_sum_to_one(spark):
     assert len(rows) == 5 and all(x < 0 for x in rows.values())
 
 
+def test_lm_query_keeps_bigrams_seen_once(spark, tmp_path):
+    texts = [(i, f"a{i % 7} b{i % 5} c{i} d{i % 3}") for i in range(40)]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lm.op6_lm_scoring(spark, str(tmp_path)).collect()
+    flow = {i: [*t.split(), None] for i, t in texts}
+    one, two, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, own in flow.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            one.update(own)
+            two.update(zip([0, *own], own, strict=False))
+            ctx.update([0, *own[:-1]])
+    follow = collections.Counter(a for a, _ in two)
+    p1 = lambda w: (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))
+    p2 = lambda a, w: (max(two[a, w] - 0.75, 0) + 0.75 * follow[a] * p1(w)) / ctx[a] if ctx[a] else p1(w)
+    assert len(rows) == 40 and any(c == 1 for c in two.values())
+    for r in rows:
+        own = flow[r["doc_id"]]
+        assert abs(r["score"] - sum(math.log10(p2(a, w)) for a, w in zip([0, *own], own, strict=False))) < 2e-4 * len(own)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------
 
 
