@@ -312,7 +312,24 @@ def test_url_templates_learn(spark):
     rules = (("block", "h.xyz/ads/1"), ("allow", "h.xyz/news/1"))
     got = {r["page_id"]: r for r in url_filter.judge(df, rules=rules).collect()}
     assert got[55]["rule"] is None and got[55]["verdict"] == "block" and got[54]["verdict"] == "allow"
-    assert {got[1000 + i]["template"] for i in range(200)} == {"/*/*/*"} and got[55]["template"] == "/ads/{n}"
+    assert {got[1000 + i]["template"] for i in range(200)} == {"/v/*/p"} and got[55]["template"] == "/ads/{n}"
+
+
+def test_url_tree_tells_paths_of_a_host_apart(spark):
+    """What no list of hosts can do: labels come from pages, and branches of like rates are merged with each other only."""
+    rate = {"a": 0.9, "b": 0.92, "c": 0.1, "d": 0.08}
+    bad, good = "<p>Win at the CASINO now</p>", "<script>casino</script><p>" + "quiet words " * 30 + "</p>"
+    rows = [(1000 * k + i, f"http://h.xyz/{s}/{i}", bad if i < 100 * rate[s] else good) for k, s in enumerate(rate) for i in range(100)]
+    rows += [(9000 + i, f"http://h.xyz/new/{i}", None if i % 2 else "") for i in range(4)]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string"), html_col="html").collect()}
+    assert {(got[1000 * k + 99]["template"], got[1000 * k + 99]["verdict"]) for k in range(4)} == {("/+2/{n}", "block"), ("/+1/{n}", "allow")}
+    assert {(got[i]["template"], got[i]["verdict"]) for i in range(9000, 9004)} == {("/new/{n}", "allow")}
+
+
+def test_url_seeds_decide_their_own_pages(spark):
+    urls = ["http://casino-win.xyz/", "http://h.xyz/free-bets/1", "http://h.xyz/x", "http://www.xyz/" + "long/" * 50_000]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------
