@@ -281,6 +281,24 @@ def test_toxicity(spark, none, odd):
     assert {r["score"] for r in toxicity.score(odd, blank).collect()} == {0.0}
 
 
+def test_toxicity_beyond_the_voters(spark):
+    """Words that no voter has, but that come with those that voters have, make a text toxic."""
+    r = np.random.default_rng(4)
+    plain, slurs = [f"word{x}y" for x in "abcdefghijklmnopqrstuvwxyz"], [f"zorp{x}" for x in "abcdefgh"]
+    rows, labels = [], []
+    for i in range(400):
+        own = [plain[k] for k in r.integers(0, 26, 30)]
+        if i % 4 == 0:
+            own += ["idiot", "moron", *(slurs[k] for k in r.integers(0, 8, 2))]
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(table(spark, rows + rows[:8]), spark.createDataFrame(labels, "doc_id long, toxic int"), mined=0)
+    texts = ["worda wordb zorpa zorpb zorpc", "worda wordb wordc wordd worde", "zorpa zorpb zorpc worda wordb", LONG]
+    assert not any(set(w.split()) & set(model.voters.words) for w in texts)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, [(k, t) for k, t in enumerate(texts)] * 2), model).collect()}
+    assert got[0] == got[2] > 0.3 > got[1] and got[3] < 0.3
+
+
 def test_label_model_recovers_labels():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.15
@@ -289,6 +307,43 @@ def test_label_model_recovers_labels():
     assert ((post > 0.5) == y).mean() > 0.97
 
 
+def test_label_model_against_enumeration():
+    """Tree, rates and posterior of one round, one row at a time."""
+    r = np.random.default_rng(1)
+    first = r.random((300, 4)) < 0.4
+    votes = np.column_stack([first, first[:, 1] ^ (r.random(300) < 0.1)]).astype(float)  # the last copies the second
+    post = r.random(300)
+    parent = toxicity.dependence_tree(votes, post)
+    assert sorted(parent)[0] == -1 and (parent[4] == 1 or parent[1] == 4)
+    rate = toxicity.rates(votes, post, parent)
+    for y in (0, 1):
+        for i in range(5):
+            own = [p if y else 1 - p for p in post]
+            overall = (sum(o * v[i] for o, v in zip(own, votes, strict=True)) + 0.5) / (sum(own) + 1)
+            for a in (0, 1):
+                rows = [(o, v[i]) for o, v in zip(own, votes, strict=True) if (v[parent[i]] if parent[i] >= 0 else 0) == a]
+                assert abs(rate[y, a, i] - (sum(o * x for o, x in rows) + overall) / (sum(o for o, _ in rows) + 1)) < 1e-9
+    got = toxicity.posterior(votes, 0.2, rate, parent)
+    for v, p in zip(votes, got, strict=True):
+        like = [1 - 0.2, 0.2]
+        for y in (0, 1):
+            for i in range(5):
+                q = rate[y, int(v[parent[i]]) if parent[i] >= 0 else 0, i]
+                like[y] *= q if v[i] else 1 - q
+        assert abs(p - like[1] / sum(like)) < 1e-9
+
+
+def test_toxicity_query(docs, spark, sf_dir):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = toxicity.op8_toxicity(spark, sf_dir).collect()
+    assert len(rows) == docs.count() and set(rows[0].asDict()) == {"doc_id", "held_out", "score", "predicted"}
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3)
+    known = [r for r in rows if not r["held_out"] and r["doc_id"] in labels]
+    bad, good = ([r["score"] for r in known if labels[r["doc_id"]] == y] for y in (1, 0))
+    assert sum(x >= 0.3 for x in good) <= 0.02 * len(good) and np.mean(bad) > 5 * np.mean(good)
+
+
 # --- url filter --------------------------------------------------------------------------------------------------
 
 
