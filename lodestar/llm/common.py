@@ -84,6 +84,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text: the remainder decides what is held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

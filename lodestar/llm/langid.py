@@ -3,28 +3,33 @@
 Texts become hashed counts of byte 2-, 3- and 4-grams (lower case, all but letters blanked), square-rooted and
 scaled to length one, over the whole text. A first layer of linear support vector machines tells language families
 apart, a second, one-versus-one within the family, the closely related languages. Each machine's margin becomes a
-probability; the score is that of the family times that of the language.
-
-Machines are fitted on the driver to at most `per_language` labelled rows of each language, chosen by a hash of
-their id; predictions run over Arrow batches. A null text, or one without a letter, is `und` with score 0; so is
-every text if there was nothing to learn from. Columns of the input are carried (columns named as the new ones are replaced);
-repeated rows are predicted each; an empty table gives no rows.
+probability; the score is that of the family times that of the language, times the share of the text's byte pairs that
+rows of that language (one in a hundred at least) have, too: a text of no learned language has a low score.
+
+Machines are fitted to at most `per_language` labelled rows of each language (and of each family as many in all, shared
+by its languages), chosen by a hash of their id: each machine by one task, which gets the sparse features of its two sides;
+the driver holds counts by language and the weights. With k languages the machines are at most k (k - 1) / 2. Predictions
+run over Arrow batches. A null text, or one without a letter, is `und` with score 0; so is every text if there was nothing
+to learn from. Ties go to the first language by
+name; texts of any length are read whole, in stretches. Columns of the input are carried (columns named as the new ones
+are replaced); repeated rows are predicted each, alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bits of each n-gram order's hash space.
-BITS = 11
+BITS = 12
 ORDERS = (2, 3, 4)
 DIMS = len(ORDERS) << BITS
 #: Bound on the rows of each language that the machines are fitted to.
@@ -118,6 +123,8 @@ class Model:
     families: dict[str, list[str]]
     between: list[Machine]
     within: dict[str, list[Machine]]
+    #: By language: which places of byte pairs its rows have.
+    seen: dict[str, np.ndarray] = field(default_factory=dict)
 
     def predict(self, texts: list[str | None]) -> dict[str, list]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -134,54 +141,88 @@ class Model:
                 inner = _vote(self.within[names[f]], members, x[mine])
                 top = inner.argmax(1)
                 for j, t, p in zip(mine.tolist(), top.tolist(), (inner.max(1) * votes[mine, f]).tolist(), strict=True):
-                    langs[own[j]], scores[own[j]] = members[t], p
+                    langs[own[j]], scores[own[j]] = members[t], p * self.familiar(members[t], x[j])
         return {"lang_pred": langs, "score": scores}
 
+    def familiar(self, lang: str, x: np.ndarray) -> float:
+        """Share of a text's byte pairs that rows of the language have, too: machines only tell learned languages apart."""
+        if lang not in self.seen:
+            return 1.0
+        pairs = x[: 1 << BITS] ** 2
+        return float(min(1.0, pairs[self.seen[lang]].sum() / max(float(pairs.sum()), 1e-9)))
+
 
-def fit(x: np.ndarray, langs: list[str]) -> Model:
-    families: dict[str, list[str]] = {}
+def families_of(langs: list[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
     for code in sorted(set(langs)):
-        families.setdefault(FAMILY_OF.get(code, code), []).append(code)
-    label = np.array(langs)
-    group = np.array([FAMILY_OF.get(c, c) for c in langs])
+        out.setdefault(FAMILY_OF.get(code, code), []).append(code)
+    return out
 
-    def duels(names: list[str], of: np.ndarray) -> list[Machine]:
-        out = []
-        for a, b in itertools.combinations(names, 2):
-            rows = (of == a) | (of == b)
-            out.append(fit_machine(a, b, x[rows].astype(np.float32), np.where(of[rows] == a, 1, -1).astype(np.float32)))
-        return out
 
-    return Model(families, duels(list(families), group), {f: duels(m, label) for f, m in families.items()})
+def duels(families: dict[str, list[str]]) -> list[tuple[str, str, bool]]:
+    """All machines to fit: two names, and whether they are families."""
+    out = [(a, b, True) for a, b in itertools.combinations(families, 2)]
+    return out + [(a, b, False) for own in families.values() for a, b in itertools.combinations(own, 2)]
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """labelled: rows to learn from; those without language or letter are left out. At most per_language rows of each language come to the driver."""
+    """labelled: rows to learn from; those without language or letter are left out."""
     labelled = labelled.filter(F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     if not counts:
         return Model({}, [], {})
-    order = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    picked = F.lit(False)
-    for lang, n in counts.items():
-        picked = picked | ((F.col(lang_col) == lang) & (order < int(min(1.0, per_language / n) * (1 << 30)) + 1))
+    spark = labelled.sparkSession
+    space = 1 << 30
+    # a tenth more than the bound, so that rows without letters leave enough
+    bound = spark.createDataFrame([(k, min(space, int(1.1 * per_language / n * space) + 1)) for k, n in counts.items()], "_l string, _bound bigint")
+    order = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(space))
+    chosen = labelled.select(order.alias("_o"), F.col(lang_col).cast("string").alias("_l"), F.col(text_col).alias("_t")).join(common.small(bound), "_l").filter("_o < _bound").select("_o", "_l", "_t")
 
     def kernel(texts: list[str | None]) -> dict[str, list]:
         ok = [bool(x and LETTER.search(x)) for x in texts]
-        made = iter(features([x for x, k in zip(texts, ok, strict=True) if k]).astype(np.float16))
-        return {"_x": [next(made).tobytes() if k else None for k in ok]}
-
-    chosen = labelled.filter(picked).select(order.alias("_o"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
-    rows = common.add_columns(chosen, "_t", {"_x": "binary"}, kernel).filter("_x is not null").select("_o", "_l", "_x").collect()
-    rows.sort(key=lambda r: (r["_l"], r["_o"], r["_x"]))
-    rows = [r for _, own in itertools.groupby(rows, key=lambda r: r["_l"]) for r in itertools.islice(own, per_language)]
-    if not rows:
-        return Model({}, [], {})
-    x, langs = np.empty((len(rows), DIMS), np.float16), [r["_l"] for r in rows]
-    for i in range(len(x)):  # half precision, and one copy of it only: this is the driver
-        x[i] = np.frombuffer(rows[i]["_x"], np.float16)
-        rows[i] = None
-    return fit(x, langs)
+        own = features([x for x, k in zip(texts, ok, strict=True) if k]).astype(np.float16)
+        made = iter([(np.flatnonzero(x).astype(np.uint16).tobytes(), x[x > 0].tobytes()) for x in own])
+        pairs = [next(made) if k else (None, None) for k in ok]
+        return {"_at": [x for x, _ in pairs], "_x": [x for _, x in pairs]}
+
+    rows = common.cut(common.add_columns(chosen, "_t", {"_at": "binary", "_x": "binary"}, kernel).filter("_x is not null").select("_o", "_l", "_at", "_x"))
+
+    def support(group: pa.Table) -> pa.Table:
+        own, least = np.zeros(DIMS, np.int64), group.num_rows // 100
+        for at in group.column("_at").to_pylist():
+            own[np.frombuffer(at, np.uint16)] += 1
+        return pa.table({"l": group.column("_l")[:1], "seen": [np.packbits(own[: 1 << BITS] > least).tobytes()]})
+
+    seen = {r["l"]: np.unpackbits(np.frombuffer(bytes(r["seen"]), np.uint8)).astype(bool) for r in rows.groupBy("_l").applyInArrow(support, "l string, seen binary").collect()}
+    families = families_of(list(seen))
+    every = duels(families)
+    if not every:
+        common.forget(rows)
+        return Model(families, [], {f: [] for f in families}, seen)
+    # (machine, its side, rows of a language that it may see)
+    share = lambda f: -(-per_language // len(families[f]))
+    sides = []
+    for k, (a, b, between) in enumerate(every):
+        for side, name in ((1, a), (-1, b)):
+            for lang in families[name] if between else [name]:
+                sides.append((k, side, lang, share(name) if between else per_language))
+    plan = spark.createDataFrame(sides, "_k int, _side int, _l string, _most int")
+
+    def fit(group: pa.Table) -> pa.Table:
+        own = sorted(zip(*(group.column(c).to_pylist() for c in ("_l", "_o", "_at", "_x", "_side", "_most")), strict=True))
+        own = [r for _, rows in itertools.groupby(own, key=lambda r: r[0]) for n, r in enumerate(rows) if n < r[5]]
+        x, y = np.zeros((len(own), DIMS), np.float32), np.array([r[4] for r in own], np.float32)
+        for i, r in enumerate(own):
+            x[i, np.frombuffer(r[2], np.uint16)] = np.frombuffer(r[3], np.float16)
+        k = group.column("_k")[0].as_py()
+        m = fit_machine(every[k][0], every[k][1], x, y)
+        return pa.table({"k": pa.array([k], pa.int32()), "weights": [m.weights.astype(np.float32).tobytes()], "bias": [m.bias], "slope": [m.slope]})
+
+    fitted = rows.join(common.small(plan), "_l").groupBy("_k").applyInArrow(fit, "k int, weights binary, bias double, slope double").collect()
+    common.forget(rows)
+    machines = {r["k"]: Machine(*every[r["k"]][:2], np.frombuffer(bytes(r["weights"]), np.float32), r["bias"], r["slope"]) for r in fitted}
+    within = {f: [machines[k] for k, (a, _, between) in enumerate(every) if not between and a in own] for f, own in families.items()}
+    return Model(families, [machines[k] for k, (_, _, between) in enumerate(every) if between], within, seen)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

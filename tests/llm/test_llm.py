@@ -215,6 +215,30 @@ def test_language_id(docs, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_language_score_of_other_languages(spark, docs):
+    model = langid.train(docs.filter("lang is not null"))
+    other = ["Привет как дела сегодня хорошо " * 20, "日本語のテキスト" * 30, "qzxv kjhg wxzq pfff grrr " * 9]
+    assert max(model.predict(other)["score"]) < 0.25 < min(model.predict([r["text"] for r in docs.filter("n_chars > 40").limit(200).collect()])["score"])
+
+
+def test_language_machines_see_their_sides_only(spark):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([("en", "the cat %d and the dog" % k) for k in range(30)] + [("de", "der hund und die katze")] * 30 + [("fr", "le chat et le chien")] * 3 + [("en", None), ("fr", "123"), (None, "x")])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10)
+    assert model.families == {"germanic": ["de", "en"], "romance": ["fr"]} and len(model.between) == 1 and len(model.within["germanic"]) == 1
+    assert model.predict(["the dog", "die hund", "le chien", "", None])["lang_pred"] == ["en", "de", "fr", "und", "und"]
+    one = langid.train(spark.createDataFrame(rows[:30], "doc_id long, text string, lang string"))
+    assert one.predict(["the dog"])["lang_pred"] == ["en"]
+
+
+def test_language_query(spark, docs, sf_dir):
+    rows = langid.op4_language_id(spark, sf_dir).collect()
+    want = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(want) and set(rows[0].asDict()) == {"doc_id", "held_out", "lang_pred", "score"}
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
 def test_language_features_of_long_texts():
     text = "abc déf " * 300_000
     a, b = langid.features([text])[0], langid.features(["abc déf " * 100])[0]
@@ -561,13 +585,30 @@ def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
     from lodestar.llm import common
 
-    docs = common.table(spark, sf_dir, "documents")
-    extra = table(spark, [(10**7 + k, t) for k, t in enumerate([None, "", "123 456", LONG])]).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("src0"), "n_chars": F.lit(0).cast("long")})
+    docs = common.table(spark, sf_dir, "documents").withColumns({"_score": F.lit("old"), "component_id": F.lit(1)})
+    other = [None, "", "123 456", LONG, "Привет как дела сегодня хорошо " * 9]
+    extra = [(10**7 + k, t) for k, t in enumerate(other)]
+    extra = table(spark, extra + extra[3:4] + [(None, "and a null id of the text")]).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("src0"), "n_chars": F.lit(0).cast("long"), "_score": F.lit("old"), "component_id": F.lit(1)})
     now, sizes = docs.unionByName(extra), []
     for name, stage in corpus_pipeline.STAGES:
         made = common.cut(stage(spark, now, sf_dir))
         if name != corpus_pipeline.STAGES[-1][0]:
-            assert made.columns == docs.columns
+            assert made.columns == docs.columns and made.filter("doc_id is null").count() == 1
         sizes.append(made.select("doc_id").distinct().count())
         now = made
-    assert sizes[0] == docs.count() + 1 and sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
+    # of the extra ones, only LONG and the null id are in a learned language
+    assert sizes[0] == docs.count() + 2 and sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
+
+
+def test_pipeline_stages_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "one two three four five six", None, None, 3), (1, "one two three four five six", None, None, 3), (2, None, None, None, None)]
+    for data, left in (([], [0, 0, 0, 0, 0]), (rows, [3, 3, 2, 2, 2])):
+        now, sizes = spark.createDataFrame(data, kind), []
+        for _, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            sizes.append(now.count())
+        assert sizes == left
