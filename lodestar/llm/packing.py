@@ -11,14 +11,15 @@ are as large at 100 TB as in a test, whatever source or cluster is frequent, and
 single bins, holds everywhere. A group wastes at most what its last, half-filled bins leave.
 
 A null text counts as empty (size 1). A null source or cluster conflicts with nothing. Rows that repeat an id are
-packed each; ties go by id, then piece; an empty table gives no rows. Further columns are not carried.
+packed each; ties go by id, piece, source and cluster; texts of any length are cut; an empty table gives no rows. Further columns are not carried.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +61,21 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
     return out
 
 
-def pack_group(rows: pd.DataFrame, id_col: str, capacity: int) -> pd.DataFrame:
-    """One group: its rows with bin, offset in the bin, and what the bin holds in all."""
-    rows = rows.sort_values(["size", id_col, "piece"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
-    none = lambda c: [None if pd.isna(x) else x for x in rows[c]]
-    local = pd.Series(pack(rows["size"].tolist(), none("source"), none("cluster"), capacity))
-    by = rows["size"].groupby(local)
-    rows["offset"], rows["bin_used"] = by.cumsum() - rows["size"], by.transform("sum")
-    rows["bin"] = rows["_group"].astype("int64") * (1 << 24) + local
-    return rows
+def pack_group(rows: pa.Table, names: list[str], capacity: int) -> pa.Table:
+    """One group: its rows with bin, offset in the bin, and what the bin holds in all. Arrow keeps 64-bit keys beside nulls exact."""
+    rows = rows.sort_by([("size", "descending"), *((c, "ascending") for c in (names[0], "piece", "source", "cluster"))])
+    size = rows.column("size").to_numpy()
+    local = np.array(pack(size.tolist(), rows.column("source").to_pylist(), rows.column("cluster").to_pylist(), capacity), np.int64)
+    order = np.argsort(local, kind="stable")
+    ends = np.cumsum(size[order])
+    first = np.searchsorted(local[order], np.arange(local.max() + 1))
+    before = np.append(0, ends)[first]  # of all earlier bins
+    offset = np.empty(len(size), np.int64)
+    offset[order] = ends - size[order] - before[local[order]]
+    used = np.bincount(local, size).astype(np.int64)[local]
+    group = rows.column("_group")[0].as_py()
+    out = rows.append_column("bin", pa.array(group * (1 << 24) + local)).append_column("offset", pa.array(offset)).append_column("bin_used", pa.array(used))
+    return out.select(names)
 
 
 def best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str | Column | None = "source", cluster: str | Column | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -84,7 +91,7 @@ def best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, source string, cluster bigint, {SCHEMA}"
     names = [id_col, "source", "cluster", *(x.split()[0] for x in SCHEMA.split(", "))]
-    return grouped.groupBy("_group").applyInPandas(lambda rows: pack_group(rows, id_col, capacity)[names], schema)
+    return grouped.groupBy("_group").applyInArrow(lambda rows: pack_group(rows, names, capacity), schema)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

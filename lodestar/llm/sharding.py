@@ -9,9 +9,11 @@ branch, so the matrix is never held anywhere; what all tasks get is one count pe
 Then each partition permutes its rows and deals them out by its row of the matrix, rows are exchanged, and each shard
 permutes what it got: rows are sorted by a random key, in buckets of bounded size, and numbered.
 
-The rows are written to the shared folder first: counts and dealing see the same partitions, and a task that runs
-again deals the same rows to the same shards. Nulls in any column, repeated rows and empty texts are rows like all
-others; an empty table gives no rows; further columns are carried (a clashing `shard` or `slot` is replaced).
+The rows are checkpointed in the shared folder first: counts and dealing see the same partitions, and a task that runs
+again deals the same rows to the same shards (the checkpoint goes when the driver ends). Nulls in any column, repeated rows and empty texts are rows like all
+others; texts of any
+length are carried whole; rows of equal keys go by their first column; an empty table gives no rows; further columns are
+carried (a clashing `shard` or `slot` is replaced).
 """
 
 from __future__ import annotations
@@ -29,16 +31,32 @@ from . import common
 
 #: Rows that a bucket of the second permutation holds on average.
 BUCKET_ROWS = 20_000
-#: numpy's exact hypergeometric generator takes populations below this; above, a rounded normal is used, whose error is far below the spread.
-EXACT_BELOW = 10**9
+#: numpy's hypergeometric generator takes populations below this; above, _law gives the distribution itself.
+NUMPY_BELOW = 10**9
 
 
-def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < EXACT_BELOW:
-        return int(rng.hypergeometric(good, bad, n)) if n and good else 0
+def _law(good: int, bad: int, n: int) -> tuple[int, np.ndarray]:
+    """Least value and cumulated (not scaled) probabilities of a hypergeometric number, from ratios of neighbours about its mode.
+
+    Values further off than 12 spreads and 40 are left out: all of them together are rarer than a double can tell.
+    """
     total = good + bad
-    mean, spread = n * good / total, (n * good * bad * (total - n) / (total * total * (total - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n))
+    spread = (n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5
+    mode, reach = (n + 1) * (good + 1) // (total + 2), int(12 * spread) + 40
+    least, most = max(0, n - bad, mode - reach), min(n, good, mode + reach)
+    k = np.arange(least, most, dtype=np.int64)
+    step = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    height = np.append(0, np.cumsum(step))
+    return least, np.cumsum(np.exp(height - height.max()))
+
+
+def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    if not n or not good:
+        return 0
+    if good + bad < NUMPY_BELOW:
+        return int(rng.hypergeometric(good, bad, n))
+    least, law = _law(good, bad, n)
+    return least + int(np.searchsorted(law, rng.random() * law[-1], side="right"))
 
 
 def split_margins(sizes: list[int], n: int, rng: np.random.Generator) -> list[int]:
@@ -71,8 +89,11 @@ def shard_sizes(n: int, shards: int) -> list[int]:
 
 def deal(df: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 within the shard). Carry narrow columns: df is written once and exchanged once."""
+    df = df.drop("shard", "slot")
     common.shared_dir(df.sparkSession)
-    kept = df.drop("shard", "slot", "_key").checkpoint()
+    kept = df.checkpoint()  # unlike a table, it has the same partitions whenever it is read
+    common.delete_at_exit(df.sparkSession, kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    key, bucket, rank, start = (common.fresh(df, c) for c in ("_key", "_bucket", "_rank", "_start"))
     counts = {r["p"]: r["n"] for r in kept.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     before = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts, default=-1) + 1))]).astype(np.int64)
     n = int(before[-1])
@@ -82,22 +103,25 @@ def deal(df: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
         from pyspark import TaskContext
 
         p = TaskContext.get().partitionId()
-        if p >= len(before) - 1 or before[p] == before[p + 1]:
-            return
+        own = int(before[p + 1] - before[p]) if p < len(before) - 1 else 0
         rng = np.random.default_rng((seed, p))
-        to = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), matrix_row(before, sizes, p, seed)))
+        to = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), matrix_row(before, sizes, p, seed))) if own else np.empty(0, np.int32)
         at = 0
         for batch in batches:
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + m]), pa.array(rng.integers(0, 1 << 62, m))], names=[*batch.schema.names, "shard", "_key"])
+            if at + m > own:
+                raise ValueError("partitions changed between counting and dealing")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + m]), pa.array(rng.integers(0, 1 << 62, m))], names=[*batch.schema.names, "shard", key])
             at += m
-
-    schema = T.StructType([*kept.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_key", T.LongType())])
-    dealt = kept.mapInArrow(run, schema).withColumn("_bucket", F.floor(F.col("_key") / (2.0**62 / buckets)).cast("int"))
-    sizes_of = dealt.groupBy("shard", "_bucket").count()
-    start = sizes_of.select("shard", "_bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("count")).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_key", *kept.columns[:1]))
-    return dealt.withColumn("_rank", rank).join(start, ["shard", "_bucket"]).select(*kept.columns, "shard", (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot"))
+        if at < own:
+            raise ValueError("partitions changed between counting and dealing")
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField(key, T.LongType())])
+    dealt = kept.mapInArrow(run, schema).withColumn(bucket, F.floor(F.col(key) / (2.0**62 / buckets)).cast("int"))
+    sizes_of = dealt.groupBy("shard", bucket).agg(F.count("*").alias("n"))
+    starts = sizes_of.select("shard", bucket, (F.sum("n").over(Window.partitionBy("shard").orderBy(bucket)) - F.col("n")).alias(start))
+    place = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(key, *kept.columns[:1]))
+    return dealt.withColumn(rank, place).join(starts, ["shard", bucket]).select(*(f"`{c}`" for c in kept.columns), "shard", (F.col(start) + F.col(rank) - 1).cast("long").alias("slot"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,38 @@ def test_split_beyond_exact_generator():
     assert sum(got) == 2 * 10**9 and abs(got[0] - 1.5e9) < 1e6
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(5, 7, 4), (3, 200, 100), (400, 300, 250), (1, 1, 2), (9, 0, 4)])
+def test_hypergeometric_law(good, bad, n):
+    least, law = sharding._law(good, bad, n)
+    want = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(least, least + len(law))]
+    assert np.allclose(np.diff(law / law[-1], prepend=0), want, atol=1e-12) and abs(sum(want) - 1) < 1e-9
+
+
+def test_small_draws_from_large_populations():
+    rng, total = np.random.default_rng(5), 2 * 10**9
+    got = np.array([sharding._draw(rng, total // 8, total - total // 8, 3) for _ in range(20000)])
+    want = [math.comb(3, k) * 0.125**k * 0.875 ** (3 - k) for k in range(4)]
+    assert abs(got.mean() - 0.375) < 0.02 and np.abs(np.bincount(got, minlength=4) / len(got) - want).max() < 0.015
+
+
+def test_sharding_carries_clashing_columns(spark):
+    df = spark.createDataFrame([(i, i * 2, "x", -i, 5) for i in range(50)], "doc_id long, _key long, _bucket string, _RANK int, n int")
+    rows = sharding.deal(df, 3).collect()
+    assert sorted((r["doc_id"], r["_key"], r["_bucket"], r["_RANK"], r["n"]) for r in rows) == [(i, i * 2, "x", -i, 5) for i in range(50)]
+
+
+def test_sharding_query(spark, docs, sf_dir):
+    rows = sharding.op5_sharding(spark, sf_dir).collect()
+    want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+        assert (r["law"], r["grown_shard"]) == ("rows", None)
+    assert sorted(by) == list(range(8)) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
 def test_sharding(spark, odd, none):
     many = spark.range(0, 3001, 1, 7).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit(9).alias("slot"))
     for df, shards in ((many, 8), (odd, 4), (none, 3)):
@@ -198,6 +230,26 @@ def test_packing(spark, odd, none):
     assert packing.best_fit(none.withColumn("source", F.lit("x"))).count() == 0
 
 
+def test_packing_keeps_large_keys_beside_nulls(spark):
+    big = 2**62
+    rows = [(big + 1, "a", "s", big + 1), (big + 2, "b", "t", big + 2), (None, "c", None, None), (big + 3, "d", "u", None)]
+    got = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string, source string, cl long"), cluster="cl", capacity=100).collect()
+    assert {(r["doc_id"], r["cluster"]) for r in got} == {(i, c) for i, _, _, c in rows} and len({r["bin"] for r in got}) == 1
+
+
+def test_packing_query(spark, docs, sf_dir):
+    rows = packing.op2_best_fit_packing(spark, sf_dir).collect()
+    source = {r["doc_id"]: (r["source"], r["text"]) for r in docs.collect()}
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["bin"] >> 24].append(r)
+    assert sum(r["size"] for r in rows) == sum(len((t or "").encode()) + 1 for _, t in source.values())
+    for own in by.values():
+        own.sort(key=lambda r: (-r["size"], r["doc_id"], r["piece"]))
+        bins = naive([(r["size"], source[r["doc_id"]][0], source[r["doc_id"]][1]) for r in own], 8192)
+        assert [r["bin"] & ((1 << 24) - 1) for r in own] == bins
+
+
 # --- language ID -------------------------------------------------------------------------------------------------
 
 
