@@ -1,17 +1,19 @@
 """Telephony audio columns: G.711 mu-law and A-law by lookup tables, IMA ADPCM block by block, resampled PCM.
 
 Each row's bytes are one 8-bit telephony stream. It is kept as a WAV file in its own codec (so the bytes come
-back unchanged), expanded to 16-bit PCM and resampled. G.711 expands by one table lookup over all bytes of a
-batch; ADPCM, whose samples depend on each other inside a block only, is decoded one nibble position at a time
-over all blocks of the batch.
+back unchanged), expanded to 16-bit PCM and resampled through a windowed-sinc low-pass. G.711 expands by one table lookup
+over all bytes of a batch; ADPCM, whose samples depend on each other inside a block only, is decoded one nibble position at
+a time over all blocks of the batch; resampling runs over the whole batch, its rows kept apart by silence.
 
 Nulls and empty texts become one unit of 255 bytes. Equal inputs give equal outputs; repeated rows stay repeated,
-an empty table gives no rows, and further columns of the input are not carried.
+an empty table gives no rows, and further columns of the input are not carried. Texts are read whole; a stream of 4 GB or
+more, which RIFF sizes can't tell, is an error (Spark holds no such value either).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -56,9 +58,8 @@ def alaw_table() -> np.ndarray:
 
 MULAW, ALAW = mulaw_table(), alaw_table()
 STEP = np.array(IMA_STEP, np.int32)
-#: By nibble: change of the step index, and the signed odd eighths (2 * magnitude + 1) of the step.
+#: By nibble: change of the step index.
 NUDGE = np.array(IMA_INDEX * 2, np.int32)
-EIGHTHS = np.array([2 * (n & 7) + 1 for n in range(16)], np.int32)
 
 
 def adpcm_decode(blocks: np.ndarray) -> np.ndarray:
@@ -80,15 +81,42 @@ def adpcm_decode(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def resample(pcm: np.ndarray, rate_in: int, rate_out: int) -> np.ndarray:
-    """Linear interpolation; the output has ceil(n * rate_out / rate_in) samples."""
-    if rate_in == rate_out or not len(pcm):
-        return pcm
-    n = -(-len(pcm) * rate_out // rate_in)
-    at = np.arange(n, dtype=np.int64) * rate_in
-    left, rest = at // rate_out, at % rate_out
-    a, b = pcm[left].astype(np.int64), pcm[np.minimum(left + 1, len(pcm) - 1)].astype(np.int64)
-    return ((a * (rate_out - rest) + b * rest) // rate_out).astype(np.int16)
+#: Zero crossings of the sinc on each side, in samples of the lower rate.
+LOBES = 8
+
+
+def low_pass(up: int, down: int) -> np.ndarray:
+    """Weights of the input samples about a place between two of them, for each of `up` places: a sinc cut at the lower rate's Nyquist limit, under a Hann window."""
+    slow = max(1.0, down / up)
+    reach = int(np.ceil(LOBES * slow))
+    off = np.arange(-reach + 1, reach + 1)[None, :] - (np.arange(up) / up)[:, None]
+    weight = np.sinc(off / slow) * np.where(np.abs(off) < reach, 0.5 + 0.5 * np.cos(np.pi * off / reach), 0)
+    return (weight / weight.sum(1, keepdims=True)).astype(np.float32)
+
+
+def resample(pcm: np.ndarray, rate_in: int, rate_out: int, edges: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each stretch of pcm between edges (by default all of it) at the other rate: ceil(n * rate_out / rate_in) samples, band-limited."""
+    edges = np.array([0, len(pcm)]) if edges is None else edges
+    if rate_in == rate_out:
+        return [pcm[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    common_rate = math.gcd(rate_in, rate_out)
+    up, down = rate_out // common_rate, rate_in // common_rate
+    weight = low_pass(up, down)
+    reach = weight.shape[1] // 2
+    # stretches begin at multiples of `down`, after more silence than the filter is long
+    size = np.diff(edges)
+    room = -(-(size + 2 * reach) // down) * down
+    start = np.cumsum(room) - room
+    x = np.zeros(int(room.sum()) + 4 * reach + down, np.float32)
+    x[np.repeat(start - edges[:-1], size) + np.arange(len(pcm)) + reach - 1] = pcm
+    turns = int(room.sum()) // down
+    out = np.empty((turns, up), np.float32)
+    for k in range(up):
+        # output k of each turn lies k * down / up samples behind the turn's start
+        whole, phase = divmod(k * down, up)
+        out[:, k] = np.lib.stride_tricks.sliding_window_view(x[whole:], 2 * reach)[::down][:turns] @ weight[phase]
+    flat = np.clip(np.rint(out.reshape(-1)), -32768, 32767).astype(np.int16)
+    return [flat[a : a + n] for a, n in zip((start // down * up).tolist(), (-(-size * up // down)).tolist(), strict=True)]
 
 
 def wav(payload: bytes, codec: str, rate: int) -> bytes:
@@ -164,8 +192,7 @@ def _rows(data: list[bytes], codec: str, rate_in: int, rate_out: int, want: list
     pcm = {codec: decode(joined, codec)}
     spread = lambda c: units // BLOCK * (1 + 2 * (BLOCK - 4)) if c == "adpcm" else units
     if {"pcm", "pcm_samples", "pcm_crc32"} & set(want):
-        at = spread(codec)
-        made = [resample(pcm[codec][a:b], rate_in, rate_out) for a, b in zip(at[:-1], at[1:], strict=True)]
+        made = resample(pcm[codec], rate_in, rate_out, spread(codec))
         out["pcm_samples"] = [len(x) for x in made]
         if "pcm" in want:
             out["pcm"] = [x.tobytes() for x in made]
@@ -206,6 +233,13 @@ def telephony_media(df: DataFrame, id_col: str = "doc_id", data_col: str = "text
     return df.select(id_col, F.col(data_col).cast("binary").alias("data")).mapInArrow(run, schema)
 
 
+def store(df: DataFrame, path: str, id_col: str = "doc_id", data_col: str = "text", codec: str = "mulaw", rate_in: int = 8000, rate_out: int = 16000) -> DataFrame:
+    """Writes media and resampled PCM of each row as a table at path, and returns it as read back."""
+    made = telephony_media(df, id_col, data_col, codec, rate_in, rate_out, ("n_bytes", "media", "pcm"))
+    made.write.parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
+
+
 def op9_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     emit = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_samples", "pcm_crc32")
     return telephony_media(common.table(spark, sf_dir, "documents"), emit=emit)

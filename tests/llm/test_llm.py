@@ -107,10 +107,48 @@ def test_media_round_trip(odd, none, codec):
     assert media.telephony_media(none).count() == 0
 
 
-def test_resample():
-    x = np.array([0, 100, -100], np.int16)
-    assert media.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -100]
-    assert media.resample(x, 8000, 8000) is x
+@pytest.mark.parametrize(("a", "b"), [(8000, 16000), (16000, 8000), (8000, 11025), (44100, 8000), (8000, 12000)])
+def test_resample(a, b):
+    """A tone below both Nyquist limits stays what it is; rows don't hear each other; the sum of one filter place by place."""
+    t = np.arange(a // 10)
+    tone = np.rint(9000 * np.sin(2 * np.pi * 440 * t / a)).astype(np.int16)
+    one, two, three = media.resample(np.concatenate([tone, tone[:7], tone]), a, b, np.cumsum([0, len(tone), 7, len(tone)]))
+    want = 9000 * np.sin(2 * np.pi * 440 * np.arange(len(one)) / b)
+    inner = slice(60, -60)
+    assert len(one) == -(-len(tone) * b // a) and len(two) == -(-7 * b // a) and one.tolist() == three.tolist()
+    assert np.abs(one[inner] - want[inner]).max() < 60
+    weight = media.low_pass(b // math.gcd(a, b), a // math.gcd(a, b))
+    reach = weight.shape[1] // 2
+    for n in (0, 5, len(one) - 1):
+        whole, phase = divmod(n * (a // math.gcd(a, b)), b // math.gcd(a, b))
+        near = [(whole + k, w) for k, w in zip(range(-reach + 1, reach + 1), weight[phase], strict=True)]
+        assert abs(sum(float(w) * tone[i] for i, w in near if 0 <= i < len(tone)) - one[n]) <= 1
+
+
+def test_resample_damps_what_the_new_rate_cannot_hold():
+    t = np.arange(4000)
+    high = np.rint(9000 * np.sin(2 * np.pi * 6500 * t / 16000)).astype(np.int16)
+    assert np.abs(media.resample(high, 16000, 8000)[0][60:-60]).max() < 300 and media.resample(high, 8000, 8000)[0] is not None
+
+
+def test_media_store(odd, tmp_path):
+    rows = media.store(odd, f"{tmp_path}/m").collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        payload = media.read_wav(r["media"])[2]
+        pcm = media.resample(media.MULAW[np.frombuffer(payload, np.uint8)], 8000, 16000)[0]
+        assert r["pcm"] == pcm.tobytes() and len(r["pcm"]) == 4 * len(payload)
+
+
+def test_media_query(spark, docs, sf_dir):
+    want = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    rows = media.op9_telephony_media(spark, sf_dir).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        payload = media.pad(want[r["doc_id"]])
+        stored = media.wav(payload, "mulaw", 8000)
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"], r["tail_crc32"]) == (len(want[r["doc_id"]]), len(payload), len(stored), zlib.crc32(payload[-32:]))
+        assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(stored).hexdigest())
 
 
 # --- sharding ----------------------------------------------------------------------------------------------------
