@@ -6,15 +6,15 @@ loaded), so a text's encoding is that of its words, joined.
 1. Each task splits its documents, block by block of some MB. A block leaves its distinct words, dealt into buckets
    by a hash, and its documents as positions in the block's own word list, compressed.
 2. Each bucket gathers its words of all blocks, encodes each distinct one once, and answers every block.
-3. Answers join their block; documents take their ids by position. Decoded text comes by joining ids with the vocabulary's
-   pieces (decode does so for any table of ids).
+3. For decoding, the distinct ids of each answer are joined with the vocabulary's pieces (decode does so for any table of ids).
+4. Answers and pieces join their block; documents take their words' ids, and their pieces, by position.
 
 The input is read twice, for words and for positions, and must give the same rows in the same order (as files do;
 anything else is told and should be written to a table first). So a text is never shuffled, and a word is shuffled once for each block, whatever its frequency. No task
 holds more than a block or a bucket, and both are sized to the input.
 
-A null text counts as empty: no tokens. Repeated rows return each; an empty table gives no rows; of further columns none
-is carried.
+A null text counts as empty: no tokens. A text of any length is encoded whole, in a block of its own if need be. Repeated rows
+return each, alike; an empty table gives no rows; of further columns none is carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,13 @@ def tokenizer(path: str):
     return t
 
 
+@functools.lru_cache(4)
+def special(path: str) -> re.Pattern | None:
+    """Finds a tokenizer's added tokens, in any case: a word that holds one must not be folded before it is encoded."""
+    added = sorted(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    return re.compile("|".join(map(re.escape, added)), re.I) if added else None
+
+
 def split_words(text: str | None) -> list[str]:
     """The words of a text in order."""
     if not text:
@@ -105,8 +113,8 @@ def decode(df: DataFrame, path: str, key: str, ids_col: str = "ids", text_col: s
     return single.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias(text_col))
 
 
-def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: bool, want_docs: bool) -> DataFrame:
-    """Either a block's documents (ids, lens, blob of positions), or its words by bucket (lens: how many, bytes; blob of words, at: their positions).
+def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: str | None, want_docs: bool) -> DataFrame:
+    """folds: a tokenizer's file if it doesn't tell capitals from small letters. Either a block's documents (ids, lens, blob of positions), or its words by bucket (lens: how many, bytes; blob of words, at: their positions).
 
     A block's name holds a checksum of its word list, so both readings are sure to speak of the same positions.
     """
@@ -125,8 +133,8 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: bool
 
         def close() -> Iterator[pa.RecordBatch]:
             # capitals of plain words don't matter to a tokenizer that lowers them, but special tokens' strings do
-            lower = Index()
-            to = lower.numbers([w.lower() if folds and w.isascii() and "<" not in w else w for w in index])
+            lower, added = Index(), special(folds) if folds else None
+            to = lower.numbers([w.lower() if folds and w.isascii() and not (added and added.search(w)) else w for w in index])
             name = f"{part}-{turn}-{zlib.crc32(chr(10).join(lower).encode())}-{len(docs)}"
             for a in range(0, len(docs) if want_docs else 0, CHUNK):
                 own = docs[a : a + CHUNK]
@@ -154,7 +162,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: bool
 
 
 def _answers(words: DataFrame, path: str) -> DataFrame:
-    """(block, lens, blob, at): numbers of ids of each word, the ids, and the words' positions in the block."""
+    """(block, lens, blob, at, used): numbers of ids of each word, the ids, the words' positions in the block, and the distinct ids."""
 
     def run(bucket: pa.Table) -> pa.Table:
         asked, table = [], Index()
@@ -166,15 +174,16 @@ def _answers(words: DataFrame, path: str) -> DataFrame:
             encoded += [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(distinct[a : a + 4096], add_special_tokens=False)]
         size = np.array([len(x) for x in encoded], np.int64)
         flat, start = np.concatenate(encoded), np.cumsum(size) - size
-        blobs, sizes = [], []
+        blobs, sizes, used = [], [], []
         for own in asked:
             n = size[own]
             at = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
             blobs.append(packed(np.append(n, flat[at])))
             sizes.append([len(n), int(n.sum())])
-        return pa.table({"block": bucket.column("block"), "lens": pa.array(sizes, pa.list_(pa.int32())), "blob": pa.array(blobs, pa.binary()), "at": bucket.column("at")})
+            used.append(np.unique(flat[at]).astype(np.int32))
+        return pa.table({"block": bucket.column("block"), "lens": pa.array(sizes, pa.list_(pa.int32())), "blob": pa.array(blobs, pa.binary()), "at": bucket.column("at"), "used": pa.array(used, pa.list_(pa.int32()))})
 
-    return words.groupBy("bucket").applyInArrow(run, "block string, lens array<int>, blob binary, at binary")
+    return words.groupBy("bucket").applyInArrow(run, "block string, lens array<int>, blob binary, at binary, used array<int>")
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", emit: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
@@ -182,20 +191,26 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     if not set(emit) <= set(EMIT):
         raise ValueError(f"emit: of {sorted(EMIT)}")
     common.bounded_batches(df.sparkSession)
-    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
-    pieces = [""] * (max(vocab.values()) + 1)  # as many as the tokenizer's file has, whatever the input
-    for piece, i in vocab.items():
-        pieces[i] = piece
-    folds = tokenizer(path).encode("A", add_special_tokens=False).ids == tokenizer(path).encode("a", add_special_tokens=False).ids
+    folds = path if tokenizer(path).encode("A", add_special_tokens=False).ids == tokenizer(path).encode("a", add_special_tokens=False).ids else None
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = functools.partial(_blocks, df, id_col, text_col, total // BUCKET_BYTES + 1, folds)
     answers = _answers(blocks(False).select("block", "bucket", "lens", "blob", "at"), path)
     docs = blocks(True).select("block", "ids", "lens", "blob")
     want = list(emit)
     texts = bool({"decoded", "decoded_sha256"} & set(want))
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        digit = [str(i) for i in range(len(pieces))]
+    none = F.lit(None)
+    if texts:
+        # an answer, then a row for each id that it uses; as many pieces as the tokenizer's file has, whatever the input
+        single = answers.select("block", "lens", "blob", "at", F.explode(F.concat(F.array(F.lit(-1)), "used")).alias("id"))
+        whole = F.col("id") < 0
+        single = single.select("block", *(F.when(whole, F.col(c)).alias(c) for c in ("lens", "blob", "at")), "id")
+        sides = single.join(F.broadcast(vocabulary(df.sparkSession, path)), "id", "left").select("block", "lens", "blob", "at", F.when(~whole, F.col("id")).alias("id"), "piece")
+    else:
+        sides = answers.select("block", "lens", "blob", "at", none.cast("int").alias("id"), none.cast("string").alias("piece"))
+
+    def run(docs: pa.Table, sides: pa.Table) -> pa.Table:
+        answers, joined = sides.filter(pc.is_null(sides.column("id"))), sides.filter(pc.is_valid(sides.column("id")))
+        pieces = dict(zip(joined.column("id").to_pylist(), joined.column("piece").to_pylist(), strict=True))
         sizes = answers.column("lens").to_pylist()
         n = sum(x[0] for x in sizes)
         if not docs.num_rows or (not n and any(map(sum, docs.column("lens").to_pylist()))):
@@ -208,7 +223,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for place, m in zip(places.tolist(), numbers[:words].tolist(), strict=True):
                 own = flat[a : a + m]
                 a += m
-                ids[place] = " ".join([digit[i] for i in own])
+                ids[place] = " ".join(map(str, own))
                 if texts:
                     decoded[place] = " ".join([pieces[i] for i in own])
         columns: dict[str, list] = {k: [] for k in want}
@@ -235,7 +250,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return pa.table([own_ids, *(pa.array(columns[k], ARROW[EMIT[k]]) for k in want)], names=[id_col, *want])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{k} {EMIT[k]}" for k in want)]))
+    return docs.groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{k} {EMIT[k]}" for k in want)]))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

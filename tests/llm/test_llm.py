@@ -368,6 +368,31 @@ def test_bpe(spark, odd, none, vocab_path):
     assert bpe.encode(none, vocab_path).count() == 0
 
 
+def test_bpe_special_tokens_of_any_look(spark, tmp_path):
+    """A tokenizer that folds case but not its special tokens."""
+    tokenizers = pytest.importorskip("tokenizers")
+    vocab = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz[]")} | {"[CLS]": 40, "ab": 41, "[UNK]": 42}
+    t = tokenizers.Tokenizer(tokenizers.models.BPE(vocab, [("a", "b")], unk_token="[UNK]"))
+    t.normalizer, t.pre_tokenizer = tokenizers.normalizers.Lowercase(), tokenizers.pre_tokenizers.WhitespaceSplit()
+    t.add_special_tokens([tokenizers.AddedToken("[CLS]", normalized=False)])
+    path = f"{tmp_path}/t.json"
+    t.save(path)
+    texts = ["[CLS] AB Abba", "x[CLS]Y [cls] [Cls]", "AB[CL", ""]
+    rows = bpe.encode(table(spark, list(enumerate(texts))), path, emit=("ids", "decoded")).collect()
+    assert {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in rows} == {i: ((e := t.encode(x, add_special_tokens=False).ids), t.decode(e, skip_special_tokens=False)) for i, x in enumerate(texts)}
+
+
+def test_bpe_query(spark, docs, sf_dir, vocab_path):
+    t = library(vocab_path)
+    want = {}
+    for r in docs.collect():
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    query = bpe.op3_bpe(spark, sf_dir)
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in query.collect()} == want
+    assert "BroadcastHashJoin" in query._jdf.queryExecution().toString()
+
+
 def test_bpe_decode_join(spark, vocab_path):
     t = library(vocab_path)
     ids = [t.encode(x, add_special_tokens=False).ids for x in TRICKY[:6]] + [[], None]
