@@ -76,7 +76,7 @@ class Vocabulary:
         for _, _, at in index:
             codes, at = EliasFano.load(data, at)
             self.segments.append(codes)
-            self.counts.append(data[at : at + 4 * codes.n].view(np.uint32))
+            self.counts.append(data[at : at + 8 * codes.n].view(np.uint64))
         self.starts = np.array([*self.first, self.first[-1] + self.segments[-1].n if index else 0], np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def _vocabulary_of(rows: DataFrame) -> Model:
     def build(group: pa.Table) -> pa.Table:
         word, c = group.column("h").to_numpy().view(U), group.column("c").to_numpy()
         order = np.argsort(word)
-        blob = EliasFano.build(word[order], (1 << 64) - 1).dump() + np.minimum(c[order], 0xFFFFFFFF).astype(np.uint32).tobytes()
+        blob = EliasFano.build(word[order], (1 << 64) - 1).dump() + c[order].astype(np.uint64).tobytes()
         return pa.table({"k": pa.array([group.column("k")[0].as_py()], pa.int32()), "n": [len(word)], "blob": [blob]})
 
     k = F.shiftrightunsigned("h", shift).cast("int") if segments > 1 else F.lit(0)
