@@ -11,13 +11,13 @@ Probabilities: unigrams (c + 0.5) / (N + 0.5 (V + 1)); bigrams of at least min_c
 context, so each context's probabilities sum to one. The query keeps every bigram (min_count = 1); train's default drops
 those seen once.
 
-Counts are taken over all training rows in Spark. Both levels are built in segments by executors, appended one at a
-time to a file in the shared folder and memory-mapped by the workers, each machine fetching the file once; no machine
-holds them in heap memory. The files grow with the corpus: about 0.25 bytes a byte of Parquet here, so a machine's disk
-bounds the corpus that one model may learn from.
+Counts are taken over all training rows in Spark. Both levels are built in segments by executors, which write each to a file of
+its own in the shared folder; nothing passes through the driver. Workers map the files in place if the folder is a mounted
+one, else each machine fetches them once and maps its copy; no machine holds them in heap memory. The files grow with the
+corpus.
 
 A null or empty text is one end token. Rows that repeat are counted and scored each; a null id counts as training; an
-empty table gives no rows; columns other than the id are not carried.
+empty table gives no rows; texts are read whole, however long; further columns are carried, but for those named as the new ones.
 """
 
 from __future__ import annotations
@@ -61,20 +61,21 @@ def quantise(log10: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-log10 * STEPS), 65535).astype(np.uint16)
 
 
-def _mapped(name: str) -> np.ndarray:
-    return np.memmap(SparkFiles.get(name), np.uint8, "r").view(np.ndarray)
+def _mapped(where: str) -> np.ndarray:
+    """A segment's bytes: mapped where it lies, or from the machine's own copy if only its name is given."""
+    return np.memmap(where if "/" in where else SparkFiles.get(where), np.uint8, "r").view(np.ndarray)
 
 
 class Vocabulary:
-    """Level one, memory-mapped. index: for each segment its least hash, first word number, offset."""
+    """Level one, memory-mapped. index: for each segment its least hash, first word number, file."""
 
-    def __init__(self, name: str, index: list[tuple[int, int, int]]):
-        data = _mapped(name)
+    def __init__(self, index: tuple[tuple[int, int, str], ...]):
         self.least = np.array([x[0] for x in index], U)
         self.first = [x[1] for x in index]
         self.segments, self.counts = [], []
-        for _, _, at in index:
-            codes, at = EliasFano.load(data, at)
+        for _, _, where in index:
+            data = _mapped(where)
+            codes, at = EliasFano.load(data)
             self.segments.append(codes)
             self.counts.append(data[at : at + 8 * codes.n].view(np.uint64))
         self.starts = np.array([*self.first, self.first[-1] + self.segments[-1].n if index else 0], np.int64)
@@ -100,14 +101,14 @@ class Vocabulary:
 
 
 class Bigrams:
-    """Level two, memory-mapped. index: for each segment its first context and offset."""
+    """Level two, memory-mapped. index: for each segment its first context and file."""
 
-    def __init__(self, name: str, index: list[tuple[int, int]]):
-        data = _mapped(name)
+    def __init__(self, index: tuple[tuple[int, str], ...]):
         self.first = np.array([x[0] for x in index], np.int64)
         self.segments = []
-        for _, at in index:
-            pointers, at = EliasFano.load(data, at)
+        for _, where in index:
+            data = _mapped(where)
+            pointers, at = EliasFano.load(data)
             codes, at = EliasFano.load(data, at)
             n = pointers.n - 1
             gamma = data[at : at + 2 * n].view(np.uint16)
@@ -138,44 +139,50 @@ class Bigrams:
 
 
 @functools.lru_cache(2)
-def _vocabulary(name: str, index: tuple) -> Vocabulary:
-    return Vocabulary(name, list(index))
+def _vocabulary(index: tuple) -> Vocabulary:
+    return Vocabulary(index)
 
 
 @functools.lru_cache(2)
-def _bigrams(name: str, index: tuple) -> Bigrams:
-    return Bigrams(name, list(index))
-
-
-def _ship(spark: SparkSession, blobs: DataFrame, order: str) -> tuple[str, list[int]]:
-    """Appends binary rows (order, blob), one at a time, to a file in the shared folder that all workers can map; name and offsets."""
-    name = f"lm-{uuid.uuid4().hex}.bin"
-    where = f"{common.shared_dir(spark)}/{name}"
-    common.delete_at_exit(spark, where)
-    at = spark._jvm.org.apache.hadoop.fs.Path(where)
-    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-    offsets, n = [], 0
-    for (k,) in [tuple(r) for r in blobs.select(order).orderBy(order).collect()]:
-        row = blobs.filter(F.col(order) == k).select("blob").first()
-        data = bytes(row["blob"])
-        data += b"\0" * (-len(data) % 8)
-        for a in range(0, len(data), 4 << 20):
-            stream.write(data[a : a + (4 << 20)])
-        offsets.append(n)
-        n += len(data)
-    if not n:
-        stream.write(b"\0" * 8)
-    stream.close()
-    spark.sparkContext.addFile(where)
-    return name, offsets
+def _bigrams(index: tuple) -> Bigrams:
+    return Bigrams(index)
+
+
+def _written(blobs: DataFrame, order: str) -> dict[int, str]:
+    """Writes binary rows (order, blob) to files of their own in the shared folder, from the tasks that made them; where workers find each.
+
+    A folder that all machines mount is mapped in place. Files of other stores are fetched by every machine.
+    """
+    spark = blobs.sparkSession
+    top = f"{common.shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    common.delete_at_exit(spark, top)
+    # the text format writes bytes as they are, and one more behind them
+    blobs.select(order, F.col("blob").cast("string")).write.partitionBy(order).text(top)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(top).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = {}
+    for folder in fs.listStatus(hadoop.Path(top)):
+        name = folder.getPath().getName()
+        if not name.startswith(f"{order}="):
+            continue
+        (own,) = [x.getPath() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")]
+        k = int(name.partition("=")[2])
+        if fs.getScheme() == "file":
+            out[k] = own.toUri().getPath()
+        else:
+            unique = hadoop.Path(folder.getPath(), f"{uuid.uuid4().hex}.bin")
+            fs.rename(own, unique)
+            spark.sparkContext.addFile(unique.toString())
+            out[k] = unique.getName()
+    return out
 
 
 class Model:
-    """What tasks need to score: names and indexes of the two files, and totals."""
+    """What tasks need to score: indexes of the two levels' files, and totals."""
 
-    def __init__(self, vocabulary: tuple[str, tuple], total: int, distinct: int):
+    def __init__(self, vocabulary: tuple, total: int, distinct: int):
         self.vocabulary, self.total, self.distinct = vocabulary, total, distinct
-        self.bigrams: tuple[str, tuple] | None = None
+        self.bigrams: tuple | None = None
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -186,13 +193,13 @@ class Model:
         unique, which = np.unique(flow, return_inverse=True)
         context = np.roll(which, 1)
         context[first] = len(unique)
-        return _vocabulary(*self.vocabulary).find(unique), which, context, first
+        return _vocabulary(self.vocabulary).find(unique), which, context, first
 
     def score(self, texts: list[bytes | None]) -> dict[str, list]:
         if not texts:
             return {k: [] for k in SCORED}
         numbers, which, context, first = self.numbered(texts)
-        counts = _vocabulary(*self.vocabulary).count(numbers)
+        counts = _vocabulary(self.vocabulary).count(numbers)
         unigram = self.unigram(counts)
         base = unigram[which]
         log10 = base.copy()
@@ -203,7 +210,7 @@ class Model:
             pair, again = np.unique(context[known] * wide + which[known], return_inverse=True)
             of, word = pair // wide, pair % wide
             used, at = np.unique(of, return_inverse=True)
-            log10[known] = _bigrams(*self.bigrams).score(contexts[used], at, numbers[word], unigram[word])[again]
+            log10[known] = _bigrams(self.bigrams).score(contexts[used], at, numbers[word], unigram[word])[again]
         sums = lambda x: np.add.reduceat(x, first).tolist()
         n = np.diff(np.append(first, len(which)))
         return {"n_tokens": n.tolist(), "n_known": sums((counts > 0).astype(np.int64)[which]), "base_score": sums(base), "score": sums(log10)}
@@ -245,17 +252,17 @@ def _vocabulary_of(rows: DataFrame) -> Model:
         word, c = group.column("h").to_numpy().view(U), group.column("c").to_numpy()
         order = np.argsort(word)
         blob = EliasFano.build(word[order], (1 << 64) - 1).dump() + c[order].astype(np.uint64).tobytes()
-        return pa.table({"k": pa.array([group.column("k")[0].as_py()], pa.int32()), "n": [len(word)], "blob": [blob]})
+        return pa.table({"k": pa.array([group.column("k")[0].as_py()], pa.int32()), "blob": [blob]})
 
     k = F.shiftrightunsigned("h", shift).cast("int") if segments > 1 else F.lit(0)
-    blobs = common.cut(counts.select("h", "c", k.alias("k")).groupBy("k").applyInArrow(build, "k int, n bigint, blob binary"))
-    name, offsets = _ship(spark, blobs, "k")
+    keyed = counts.select("h", "c", k.alias("k"))
+    files = _written(keyed.groupBy("k").applyInArrow(build, "k int, blob binary"), "k")
     index, first = [], 0
-    for r, at in zip(blobs.select("k", "n").orderBy("k").collect(), offsets, strict=True):
-        index.append((r["k"] << shift if segments > 1 else 0, first, at))
+    for r in keyed.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect():
+        index.append((r["k"] << shift if segments > 1 else 0, first, files[r["k"]]))
         first += r["n"]
-    common.forget(counts, blobs)
-    return Model((name, tuple(index)), total, distinct)
+    common.forget(counts)
+    return Model(tuple(index), total, distinct)
 
 
 def _bigrams_of(rows: DataFrame, model: Model, documents: int, min_count: int) -> None:
@@ -307,7 +314,7 @@ def _bigrams_of(rows: DataFrame, model: Model, documents: int, min_count: int) -
         context, word = (flat // wide).astype(np.int64), (flat % wide).astype(np.int64)
         n = min(span, model.distinct + 1 - k * span)
         numbers = np.arange(k * span, k * span + n)
-        vocabulary = _vocabulary(*model.vocabulary)
+        vocabulary = _vocabulary(model.vocabulary)
         seen = np.where(numbers < model.distinct, vocabulary.count(np.minimum(numbers, model.distinct - 1)), documents).astype(float)
         gamma = 1 - np.bincount(context, c - DISCOUNT, n) / np.maximum(seen, 1)
         probability = (c - DISCOUNT) / seen[context] + gamma[context] * 10 ** model.unigram(vocabulary.count(word))
@@ -322,10 +329,8 @@ def _bigrams_of(rows: DataFrame, model: Model, documents: int, min_count: int) -
 
     found = rows.select("_text").mapInArrow(count, "k int, pairs binary, counts binary")
     empty = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("k"), F.lit(EliasFano.build(np.empty(0, U)).dump()).alias("pairs"), F.lit(b"").alias("counts"))
-    blobs = common.cut(found.union(empty).groupBy("k").applyInArrow(build, "k int, blob binary"))
-    name, offsets = _ship(rows.sparkSession, blobs, "k")
-    model.bigrams = name, tuple((k * span, at) for k, at in enumerate(offsets))
-    common.forget(blobs)
+    files = _written(found.union(empty).groupBy("k").applyInArrow(build, "k int, blob binary"), "k")
+    model.bigrams = tuple((k * span, files[k]) for k in sorted(files))
 
 
 def train(rows: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> Model:
