@@ -6,8 +6,9 @@ loaded), so a text's encoding is that of its words, joined.
 1. Each task splits its documents, block by block of some MB. A block leaves its distinct words, dealt into buckets
    by a hash, and its documents as positions in the block's own word list, compressed.
 2. Each bucket gathers its words of all blocks, encodes each distinct one once, and answers every block.
-3. For decoding, the distinct ids of each answer are joined with the vocabulary's pieces (decode does so for any table of ids).
-4. Answers and pieces join their block; documents take their words' ids, and their pieces, by position.
+3. Answers join their block; documents take their words' ids by position, and their pieces from the vocabulary, which
+   every task has: its size is that of the tokenizer's file. decode() does the same for any table of ids by a join of ids with
+   pieces. encode() doesn't use that join: rows of distinct ids by block and bucket grow faster than the input (see README).
 
 The input is read twice, for words and for positions, and must give the same rows in the same order (as files do;
 anything else is told and should be written to a table first). So a text is never shuffled, and a word is shuffled once for each block, whatever its frequency. No task
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,7 +162,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, buckets: int, folds: str
 
 
 def _answers(words: DataFrame, path: str) -> DataFrame:
-    """(block, lens, blob, at, used): numbers of ids of each word, the ids, the words' positions in the block, and the distinct ids."""
+    """(block, lens, blob, at): numbers of ids of each word, the ids, and the words' positions in the block."""
 
     def run(bucket: pa.Table) -> pa.Table:
         asked, table = [], Index()
@@ -174,16 +174,15 @@ def _answers(words: DataFrame, path: str) -> DataFrame:
             encoded += [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(distinct[a : a + 4096], add_special_tokens=False)]
         size = np.array([len(x) for x in encoded], np.int64)
         flat, start = np.concatenate(encoded), np.cumsum(size) - size
-        blobs, sizes, used = [], [], []
+        blobs, sizes = [], []
         for own in asked:
             n = size[own]
             at = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
             blobs.append(packed(np.append(n, flat[at])))
             sizes.append([len(n), int(n.sum())])
-            used.append(np.unique(flat[at]).astype(np.int32))
-        return pa.table({"block": bucket.column("block"), "lens": pa.array(sizes, pa.list_(pa.int32())), "blob": pa.array(blobs, pa.binary()), "at": bucket.column("at"), "used": pa.array(used, pa.list_(pa.int32()))})
+        return pa.table({"block": bucket.column("block"), "lens": pa.array(sizes, pa.list_(pa.int32())), "blob": pa.array(blobs, pa.binary()), "at": bucket.column("at")})
 
-    return words.groupBy("bucket").applyInArrow(run, "block string, lens array<int>, blob binary, at binary, used array<int>")
+    return words.groupBy("bucket").applyInArrow(run, "block string, lens array<int>, blob binary, at binary")
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", emit: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
@@ -198,19 +197,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     docs = blocks(True).select("block", "ids", "lens", "blob")
     want = list(emit)
     texts = bool({"decoded", "decoded_sha256"} & set(want))
-    none = F.lit(None)
-    if texts:
-        # an answer, then a row for each id that it uses; as many pieces as the tokenizer's file has, whatever the input
-        single = answers.select("block", "lens", "blob", "at", F.explode(F.concat(F.array(F.lit(-1)), "used")).alias("id"))
-        whole = F.col("id") < 0
-        single = single.select("block", *(F.when(whole, F.col(c)).alias(c) for c in ("lens", "blob", "at")), "id")
-        sides = single.join(F.broadcast(vocabulary(df.sparkSession, path)), "id", "left").select("block", "lens", "blob", "at", F.when(~whole, F.col("id")).alias("id"), "piece")
-    else:
-        sides = answers.select("block", "lens", "blob", "at", none.cast("int").alias("id"), none.cast("string").alias("piece"))
-
-    def run(docs: pa.Table, sides: pa.Table) -> pa.Table:
-        answers, joined = sides.filter(pc.is_null(sides.column("id"))), sides.filter(pc.is_valid(sides.column("id")))
-        pieces = dict(zip(joined.column("id").to_pylist(), joined.column("piece").to_pylist(), strict=True))
+    pieces: dict[int, str] = {i: piece for piece, i in tokenizer(path).get_vocab(with_added_tokens=True).items()} if texts else {}
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         sizes = answers.column("lens").to_pylist()
         n = sum(x[0] for x in sizes)
         if not docs.num_rows or (not n and any(map(sum, docs.column("lens").to_pylist()))):
@@ -250,7 +239,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return pa.table([own_ids, *(pa.array(columns[k], ARROW[EMIT[k]]) for k in want)], names=[id_col, *want])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return docs.groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{k} {EMIT[k]}" for k in want)]))
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{k} {EMIT[k]}" for k in want)]))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
