@@ -18,7 +18,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections import Counter
@@ -158,7 +157,6 @@ def label_model(votes: np.ndarray, rounds: int = 20) -> np.ndarray:
     return post
 
 
-@functools.lru_cache(200_000)
 def places(word: str) -> tuple[int, ...]:
     """Where a word of a text counts: its own place, and those of its beginnings."""
     own = (zlib.crc32(b"=" + word.encode()), *(zlib.crc32(b"^" + word[:n].encode()) for n in STEMS if len(word) >= n))
@@ -197,11 +195,15 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, ridge: flo
 class Model:
     voters: Voters
     weights: np.ndarray | None
+    #: What each word seen so far by this process adds.
+    known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def predict(self, texts: list[str | None]) -> dict[str, list]:
         if self.weights is None:
             return {"score": [0.0] * len(texts), "predicted": [0] * len(texts)}
-        w, known = self.weights, {}
+        w, known = self.weights, self.known
+        if len(known) > 1_000_000:
+            known.clear()
 
         def odds(text: str | None) -> float:
             total = 0.0
