@@ -22,8 +22,8 @@ def terms(df: DataFrame, key: str, text: Column, stemming: bool = False, length:
     return words.join(stems, "term").groupBy(*by, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-def postings(docs: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, stemming: bool = False) -> DataFrame:
-    """(term, key, tf, df, idf, weight). Documents without tokens count in the number and the mean length of documents.
+def counted(docs: DataFrame, key: str, text: Column, stemming: bool = False) -> DataFrame:
+    """(term, key, tf, _len, df, _docs, _total): all that weights of any setting need. Documents without tokens count in the number and the mean length of documents.
 
     Lengths ride along with the counts, and the total comes from the terms' table, so texts are split once.
     """
@@ -33,22 +33,54 @@ def postings(docs: DataFrame, key: str, text: Column, k1: float = 1.2, b: float
     size = docs.agg(F.count("*").alias("_docs"))
     total = df.agg(F.coalesce(F.sum("_cf"), F.lit(0)).alias("_total"))
     # one row each: a broadcast of two numbers
-    both = tf.join(df.drop("_cf"), "term").join(F.broadcast(size)).join(F.broadcast(total))
+    return tf.join(df.drop("_cf"), "term").join(F.broadcast(size)).join(F.broadcast(total))
+
+
+def weight(k1: float, b: float) -> Column:
+    """Of a row of counted()."""
+    return bm25_weight(bm25_idf(F.col("_docs"), F.col("df")), F.col("tf"), F.col("_len"), F.col("_total") / F.col("_docs"), k1, b)
+
+
+def postings(docs: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, stemming: bool = False) -> DataFrame:
+    """(term, key, tf, df, idf, weight)."""
     idf = bm25_idf(F.col("_docs"), F.col("df"))
-    weighted = both.withColumn("idf", idf).withColumn("weight", bm25_weight(F.col("idf"), F.col("tf"), F.col("_len"), F.col("_total") / F.col("_docs"), k1, b))
-    return weighted.select("term", key, "tf", "df", "idf", "weight")
+    return counted(docs, key, text, stemming).select("term", key, "tf", "df", idf.alias("idf"), weight(k1, b).alias("weight"))
 
 
-def scores(queries: DataFrame, query: str, text: Column, index: DataFrame, key: str, stemming: bool = False) -> DataFrame:
-    """(query, key, score) of all pairs that share a term; a query's repeated words count repeatedly.
+def weights(docs: DataFrame, key: str, text: Column, settings: dict[str, tuple[float, float]], stemming: bool = False) -> DataFrame:
+    """(term, key, a weight by the name of each setting (k1, b)): one index for several retrievers."""
+    return counted(docs, key, text, stemming).select("term", key, *(weight(*x).alias(name) for name, x in settings.items()))
+
+
+def pool_scores(queries: DataFrame, query: str, text: Column, index: DataFrame, key: str, names: list[str], pools: DataFrame, members: DataFrame, pool: str = "pool", stemming: bool = False) -> DataFrame:
+    """(query, key, a score by each name) of the pairs that share a term within the query's pool; index as weights() gives it.
+
+    The pool is part of the join of terms, so work shrinks with the pools: nothing outside them is scored. pools
+    (query, pool), members (pool, key). Equal texts in the same pool are scored once.
+    """
+    asked = queries.select(query, text.alias("_text")).join(pools.select(query, pool), query)
+    unique = asked.select("_text", pool).distinct()
+    wanted = terms(unique.select("_text").distinct(), "_text", F.col("_text"), stemming).withColumnRenamed("tf", "qtf").join(unique, "_text")
+    inside = index.join(members.select(pool, key).distinct(), key)
+    by_text = wanted.join(inside, ["term", pool]).groupBy("_text", pool, key).agg(*(F.sum(F.col(n) * F.col("qtf")).alias(n) for n in names))
+    return asked.join(by_text, ["_text", pool]).select(query, key, *names)
+
+
+def scores_of(queries: DataFrame, query: str, text: Column, index: DataFrame, key: str, names: list[str], stemming: bool = False) -> DataFrame:
+    """(query, key, a score by each name) of all pairs that share a term; a query's repeated words count repeatedly.
 
     Equal texts are scored once and joined back to their queries.
     """
     asked = queries.select(query, text.alias("_text"))
     unique = asked.select("_text").distinct()
     wanted = terms(unique, "_text", F.col("_text"), stemming).withColumnRenamed("tf", "qtf")
-    by_text = wanted.join(index.select("term", key, "weight"), "term").groupBy("_text", key).agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
-    return asked.join(by_text, "_text").select(query, key, "score")
+    by_text = wanted.join(index.select("term", key, *names), "term").groupBy("_text", key).agg(*(F.sum(F.col(n) * F.col("qtf")).alias(n) for n in names))
+    return asked.join(by_text, "_text").select(query, key, *names)
+
+
+def scores(queries: DataFrame, query: str, text: Column, index: DataFrame, key: str, stemming: bool = False) -> DataFrame:
+    """(query, key, score) of all pairs that share a term, by the weight of postings()."""
+    return scores_of(queries, query, text, index.select("term", key, F.col("weight").alias("score")), key, ["score"], stemming)
 
 
 def pair_scores(pairs: DataFrame, queries: DataFrame, query: str, text: Column, index: DataFrame, key: str, stemming: bool = False) -> DataFrame:

@@ -70,16 +70,22 @@ LIST = "{0} AS (SELECT * FROM (SELECT p.qid, p.doc_id, coalesce(score, 0) AS sco
 @query("o01_rank_pool", f"WITH {index_sql()}, {SCORE}, p AS (SELECT qid, doc_id FROM q JOIN d ON q.loc = d.loc AND d.lang = q.lang), {LIST.format('l', 'p', 's', DEPTH)} SELECT qid, doc_id, score, rank FROM l")
 def o01(spark, sf):
     key = F.concat_ws("/", "loc", "lang").alias("pool")
-    members = corpus(spark, sf).select(key, "doc_id")
-    return rank.rank_pool(scored(spark, sf), asked(spark, sf).select("qid", key), members, "qid", "pool", "doc_id", DEPTH)
+    members, pools = corpus(spark, sf).select(key, "doc_id"), asked(spark, sf).select("qid", key)
+    index = bm25.weights(corpus(spark, sf), "doc_id", F.col("text"), {"score": SETTINGS["BM25"]})
+    found = rounded(bm25.pool_scores(asked(spark, sf), "qid", F.col("text"), index, "doc_id", ["score"], pools, members)).persist()
+    return rank.rank_pool(found, pools, members, "qid", "pool", "doc_id", DEPTH)
 
 
 TWO = f"""WITH {index_sql()}, {SCORE}, ix2 AS (SELECT term, doc_id, idf * tf * (2.0 + 1) / (tf + 2.0 * (1 - 0.0 + 0.0)) AS weight FROM ix),
 s2 AS (SELECT qid, doc_id, round(sum(weight * qtf), 6) AS score FROM qt JOIN ix2 USING (term) GROUP BY ALL)"""
 
 
+SETTINGS = {"BM25": (1.2, 0.75), "TF": (2.0, 0.0)}
+
+
 def two_retrievers(spark, sf):
-    return {"BM25": scored(spark, sf), "TF": scored(spark, sf, 2.0, 0.0)}
+    """One index for both, kept for all pools that search it."""
+    return bm25.weights(corpus(spark, sf), "doc_id", F.col("text"), SETTINGS)
 
 
 def pool_lists(spark, sf, kind, both=None):
@@ -87,7 +93,9 @@ def pool_lists(spark, sf, kind, both=None):
     asks, docs = asked(spark, sf), corpus(spark, sf)
     pools = {"geo": asks.select("qid", F.col("loc").cast("string").alias("pool")), "nb": asks.select("qid", ((F.col("loc") + 1) % 20).cast("string").alias("pool")), "extra": asks.select("qid", F.col("lang").alias("pool"))}[kind]
     members = docs.select((F.col("lang") if kind == "extra" else F.col("loc").cast("string")).alias("pool"), "doc_id")
-    return candidates.search(both or two_retrievers(spark, sf), pools, members, "qid", "pool", "doc_id", TOP, 60, DEPTH)
+    index = two_retrievers(spark, sf) if both is None else both
+    found = rounded(bm25.pool_scores(asks, "qid", F.col("text"), index, "doc_id", list(SETTINGS), pools, members)).persist()
+    return candidates.search({n: found.select("qid", "doc_id", F.col(n).alias("score")) for n in SETTINGS}, pools, members, "qid", "pool", "doc_id", TOP, 60, DEPTH)
 
 
 POOL_SQL = {"geo": "q.loc = d.loc", "nb": "(q.loc + 1) % 20 = d.loc", "extra": "q.lang = d.lang"}
@@ -112,7 +120,9 @@ def r06b(spark, sf):
 
 @query("a13_rrf", f"{TWO}, l AS (SELECT qid, doc_id, rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 50 UNION ALL SELECT qid, doc_id, rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s2) WHERE rank <= 50) SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM l GROUP BY ALL")
 def a13(spark, sf):
-    lists = [rank.top_k(scored(spark, sf, *x), ["qid"], "score", "doc_id", 50) for x in ((1.2, 0.75), (2.0, 0.0))]
+    found = bm25.scores_of(asked(spark, sf), "qid", F.col("text"), two_retrievers(spark, sf), "doc_id", list(SETTINGS))
+    found = rounded(found).persist()
+    lists = [rank.top_k(found.select("qid", "doc_id", F.col(n).alias("score")), ["qid"], "score", "doc_id", 50) for n in SETTINGS]
     return rounded(rank.rrf(lists[0].unionByName(lists[1]), "qid", "doc_id"), 9)
 
 
@@ -123,7 +133,8 @@ f1 AS (SELECT * FROM (SELECT x.qid, x.doc_id, coalesce(held, 0) + row_number() O
 
 @query("o03_fill_top", f"{TWO}, {lists_sql('geo')}, {lists_sql('extra')}, {FILL_SQL.format(g=TOP, n=TOP + 10, p1='extra', c1=1)} FROM f0 UNION ALL FROM f1")
 def o03(spark, sf):
-    pick = lambda kind: pool_lists(spark, sf, kind).filter("retriever = 'RRF'").select("qid", "doc_id", "rank")
+    both = two_retrievers(spark, sf).persist()
+    pick = lambda kind: pool_lists(spark, sf, kind, both).filter("retriever = 'RRF'").select("qid", "doc_id", "rank")
     return rank.fill([(pick("geo"), TOP), (pick("extra"), TOP + 10)], "qid", "doc_id")
 
 
@@ -137,7 +148,7 @@ GOLD = "gold AS (SELECT qid, doc_id FROM q JOIN d ON q.lang = d.lang AND q.loc =
 
 
 def quota_candidates(spark, sf, **more):
-    both = {k: v.persist() for k, v in two_retrievers(spark, sf).items()}
+    both = two_retrievers(spark, sf).persist()
     return candidates.generate({p: pool_lists(spark, sf, p, both) for p in ("geo", "nb", "extra")}, "qid", "doc_id", 24, 0.25, 0.25, **more)
 
 

@@ -264,7 +264,7 @@ def r18(spark, sf):
     made = rerank.Preprocessor(["l_quantity", "l_discount"]).fit(rows).transform()
     data = rows.select("qid", "label", *(v.alias(k) for k, v in made.items()))
     names = [c for c in data.columns if c.startswith("x_")]
-    w = rerank.fit_listwise(data, names, rounds=8)
+    w = rerank.fit_listwise(data, names)
     return spark.createDataFrame([(n, round(float(x), 4)) for n, x in zip(names, w, strict=True)], "feature string, weight double")
 
 
