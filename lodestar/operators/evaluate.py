@@ -16,9 +16,9 @@ def build_events(gold: DataFrame, event: str, item: str) -> DataFrame:
 def hits(tops: DataFrame, gold: DataFrame, event: str, item: str, k: int, by: Sequence[str] = ("retriever", "variant")) -> DataFrame:
     """(event, by, hits, n_pos) for every event with positives; tops: (event, by, item, rank from 1)."""
     n_pos = gold.select(event, item).distinct().groupBy(event).agg(F.count("*").alias("n_pos"))
-    kinds = tops.select(*by).distinct()  # a handful
+    kinds = tops.select(F.struct(*by).alias("k")).distinct().agg(F.collect_list("k")).scalar()  # a handful: retrievers and variants
     found = tops.filter(F.col("rank") <= k).join(gold.select(event, item).distinct(), [event, item], "left_semi").groupBy(event, *by).agg(F.countDistinct(item).alias("hits"))
-    return n_pos.join(F.broadcast(kinds)).join(found, [event, *by], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return n_pos.withColumn("_kinds", kinds).select(event, "n_pos", F.inline("_kinds")).join(found, [event, *by], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
 def recall(h: DataFrame) -> DataFrame:

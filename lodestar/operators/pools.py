@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,14 @@ def members_by_places(places: DataFrame, items: DataFrame, query: str = "qid", i
     return pools, distinct.join(items.select(F.col("item_location_id").alias("loc"), item), "loc").select("pool", item).distinct()
 
 
-def pool_sizes(items: DataFrame, loc: str, keys: DataFrame, key: str, mask: Column) -> DataFrame:
-    """(key, loc, n, n_passing): items of each location, and those that pass each distinct filter key, from counts per location.
+def pool_sizes(items: DataFrame, loc: str, keys: DataFrame, key: str, mask: Column, by: Sequence[str], slots: int = 64) -> DataFrame:
+    """(key, loc, n, n_passing): items of each location, and those that pass each distinct filter key.
 
-    keys: the distinct filter combinations, a few; mask refers to columns of both.
+    by: the items' columns that mask reads. Items are counted by location and these first; keys meet the counts by slots.
     """
-    counted = items.join(F.broadcast(keys)).groupBy(key, loc).agg(F.count("*").alias("n"), F.count_if(mask).alias("n_passing"))
-    return counted
+    counted = items.groupBy(loc, *by).agg(F.count("*").alias("_n")).withColumn("_slot", F.pmod(F.xxhash64(loc, *by), F.lit(slots)))
+    spread = keys.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    return counted.join(spread, "_slot").groupBy(key, loc).agg(F.sum("_n").alias("n"), F.sum(F.when(mask, F.col("_n")).otherwise(0)).alias("n_passing"))
 
 
 def cutoff_stats(gold: DataFrame, sizes: DataFrame, query: str, top_k: int) -> DataFrame:

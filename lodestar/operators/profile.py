@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ngrams, tokens
+from .rank import places
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -34,10 +35,28 @@ def counters(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return rows.select("counter", "n", (F.col("n") / F.greatest("_n", F.lit(1))).alias("share"))
 
 
+def order_statistics(df: DataFrame, columns: dict[str, Column], at: Sequence[float]) -> DataFrame:
+    """(name, values): each column's exact quantiles, interpolated, nulls left out; no row for a column without values.
+
+    Values are counted before they are put in order, and no task holds a whole column.
+    """
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in columns.items()))))
+    counts = long.filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
+    own = places(counts, [F.col("name"), F.col("value")], "n")
+    # one row a column: how many values it has, and how many the columns before it have
+    sizes = counts.groupBy("name").agg(F.sum("n").alias("size"))
+    sizes = sizes.withColumn("first", F.sum("size").over(Window.orderBy("name")) - F.col("size"))
+    own = own.join(F.broadcast(sizes), "name").withColumn("upto", F.col("covered") - F.col("first"))
+    spots = [F.lit(float(q)) * (F.col("size") - 1) for q in at]
+    reached = [F.min(F.when(F.col("upto") > edge(x), F.col("value"))).alias(f"{side}{i}") for i, x in enumerate(spots) for side, edge in (("l", F.floor), ("u", F.ceil))]
+    ends = own.groupBy("name", "size").agg(*reached)
+    return ends.select("name", F.array(*(F.col(f"l{i}") + (F.col(f"u{i}") - F.col(f"l{i}")) * (x - F.floor(x)) for i, x in enumerate(spots))).alias("values"))
+
+
 def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
-    """(q, value): exact, interpolated."""
-    row = df.agg(F.percentile(F.col(column), F.array(*(F.lit(float(q)) for q in at))).alias("v"))
-    return row.select(F.inline(F.arrays_zip(F.array(*(F.lit(float(q)) for q in at)).alias("q"), F.col("v").alias("value"))))
+    """(q, value): exact, interpolated; null for a column without values."""
+    row = order_statistics(df, {column: F.col(column)}, at).agg(F.first("values").alias("v"))
+    return row.select(F.inline(F.arrays_zip(F.array(*(F.lit(float(q)) for q in at)).alias("q"), F.coalesce("v", F.array(*(F.lit(None).cast("double") for _ in at))).alias("value"))))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
@@ -49,15 +68,13 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     """(columns, n, share)."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def concentration(df: DataFrame, key: str) -> DataFrame:
     """(key, n, place, cum_share): what the most frequent keys cover together."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), key)
-    covered = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("n").over(Window.partitionBy())
-    return counts.withColumns({"place": F.row_number().over(order), "cum_share": covered})
+    return places(counts, [-F.col("n"), F.col(key)], "n").withColumn("cum_share", F.col("covered") / counts.agg(F.sum("n")).scalar()).drop("covered")
 
 
 def density(df: DataFrame, x: Column, y: Column, width: float) -> DataFrame:

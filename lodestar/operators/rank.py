@@ -94,8 +94,41 @@ def hash_order(key: Column, seed: int) -> Column:
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows (or all) by the order of a hash of their key."""
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+    """n rows (or all) by the order of a hash of their key.
+
+    Rows are counted by the first 16 bits of the hash; whole buckets pass by a filter, and only the bucket in which the
+    sample ends is sorted. df must give the same rows when read again.
+    """
+    order = hash_order(F.col(key), seed)
+    bucket = F.coalesce(F.substring(order, 1, 4), F.lit(""))  # null keys come first, as in a sort
+    taken = 0
+    for name, count in sorted(tuple(r) for r in df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()):  # 65,537 rows at most
+        if taken + count > n:
+            border = df.filter(bucket == name).orderBy(order, key).limit(n - taken)
+            return df.filter(bucket < name).unionByName(border)
+        taken += count
+    return df
+
+
+def places(df: DataFrame, order: Sequence[Column], weight: str | None = None, ranges: int = 256) -> DataFrame:
+    """df with place (from 1) in the whole order, and covered: the sum of weight up to each row.
+
+    Some rows, drawn by a hash, cut the order into ranges; rows are numbered inside their range and moved by what the
+    ranges before hold, so no task sorts more than its range. order must tell rows apart, and df must give the same rows when read again.
+    """
+    key = df.withColumn("_key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order))))
+    drawn = key.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges - 1)
+    bounds = drawn.agg(F.collect_list("_key")).scalar()
+    own = key.withColumn("_bounds", bounds).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")
+    add = F.col(weight) if weight else F.lit(1)
+    held = own.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(add).alias("_w"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    start = held.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w"))
+    inside = Window.partitionBy("_range").orderBy("_key")
+    moved = own.join(F.broadcast(start), "_range").withColumn("place", (F.row_number().over(inside) + F.col("_n")).cast("long"))
+    if weight:
+        moved = moved.withColumn("covered", F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_w"))
+    return moved.drop("_key", "_range", "_n", "_w")
 
 
 def keep_and_fill(df: DataFrame, key: str, keep: DataFrame, n: int, seed: int = 42) -> DataFrame:

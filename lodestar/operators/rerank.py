@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.numeric import clip
-from .rank import fractional_rank
+from .profile import order_statistics
+from .rank import fractional_rank, places
 
 LOG_FEATURES = ("geo_dist_km",)
 EMBEDDINGS = {"microcat": 16, "category": 8, "query_category": 8, "item_loc": 16, "query_loc": 16}
@@ -31,9 +32,10 @@ class Preprocessor:
         return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0)))) if c in LOG_FEATURES else x
 
     def fit(self, df: DataFrame) -> Preprocessor:
-        """Two passes over all rows: medians, then moments with them filled in."""
-        first = df.agg(*(F.median(self._raw(c)).alias(f"m{i}") for i, c in enumerate(self.columns)), *(F.max(self._raw(c).isNull()).alias(f"n{i}") for i, c in enumerate(self.columns))).first()
-        median = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(self.columns))]
+        """Medians, then moments with them filled in, over all rows."""
+        first = df.agg(*(F.max(self._raw(c).isNull()).alias(f"n{i}") for i, c in enumerate(self.columns))).first()
+        middle = {r["name"]: r["values"][0] for r in order_statistics(df, {c: self._raw(c) for c in self.columns}, [0.5]).collect()}
+        median = [middle.get(c, 0.0) for c in self.columns]
         filled = [F.coalesce(self._raw(c), F.lit(float(median[i]))) for i, c in enumerate(self.columns)]
         second = df.agg(*(F.avg(x).alias(f"a{i}") for i, x in enumerate(filled)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled))).first()
         self.stats = {c: {"median": float(median[i]), "mean": float(second[f"a{i}"] or 0), "std": float(second[f"s{i}"] or 0) or 1.0, "has_nan": bool(first[f"n{i}"])} for i, c in enumerate(self.columns)}
@@ -59,7 +61,8 @@ class Preprocessor:
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes from 1 in the order of values."""
-    return df.select(F.col(column).alias("value")).filter("value is not null").distinct().withColumn("code", F.row_number().over(Window.orderBy("value")))
+    values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
+    return places(values, [F.col("value")]).withColumnRenamed("place", "code")
 
 
 def encode(df: DataFrame, column: str, vocab: DataFrame, name: str) -> DataFrame:
@@ -137,7 +140,7 @@ def listwise_loss(df: DataFrame, by: str = "qid", score: str = "score", label: s
 def fit_listwise(df: DataFrame, features: Sequence[str], by: str = "qid", label: str = "label", rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Weights of a linear scorer under the listwise loss, by gradient descent with Adam; each round is one aggregation of all groups.
 
-    Stands in for networks and gradient-boosted rankers, whose libraries this environment lacks.
+    Stands in for training of the network, whose library this environment lacks.
     """
     data = df.select(by, label, *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features))).persist()
     groups = data.groupBy(by).agg(F.max(label).alias("_best")).filter("_best > 0").count()
@@ -157,6 +160,73 @@ def fit_listwise(df: DataFrame, features: Sequence[str], by: str = "qid", label:
     return w
 
 
+class Boosted:
+    """Regression trees whose outputs add up to a score. A tree is a node: {value}, or {feature, at, left, right}; values <= at go left."""
+
+    def __init__(self, features: Sequence[str], trees: list[dict], importance: Sequence[float]):
+        self.features, self.trees, self.importance = list(features), trees, [float(x) for x in importance]
+
+    def score(self) -> F.Column:
+        """The score as one expression of the features' columns."""
+
+        def branch(node: dict) -> F.Column:
+            if "value" in node:
+                return F.lit(float(node["value"]))
+            return F.when(F.col(self.features[node["feature"]]) <= node["at"], branch(node["left"])).otherwise(branch(node["right"]))
+
+        return sum((branch(t) for t in self.trees), F.lit(0.0))
+
+    def shares(self, spark) -> DataFrame:
+        """(feature, share): what each feature's splits gained, of all gains."""
+        total = sum(self.importance) or 1.0
+        return spark.createDataFrame([(f, x / total) for f, x in zip(self.features, self.importance, strict=True)], "feature string, share double")
+
+    def to_json(self) -> str:
+        return json.dumps({"features": self.features, "trees": self.trees, "importance": self.importance}, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> Boosted:
+        d = json.loads(text)
+        return cls(d["features"], d["trees"], d["importance"])
+
+
+def fit_boosted(df: DataFrame, features: Sequence[str], by: str = "qid", label: str = "label", rounds: int = 20, depth: int = 3, rate: float = 0.3, least: int = 20) -> Boosted:
+    """Gradient boosting under the listwise loss: each round's tree is fitted to the loss's gradient at the scores so far.
+
+    Trees are grown by Spark on histograms of all rows; each leaf's step is Newton's, from the sums of its rows. Groups
+    without a positive teach nothing. features must have no nulls.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    group = Window.partitionBy(by)
+    own = df.select(by, label, *(F.col(c).cast("double").alias(c) for c in features)).withColumn("_n", F.sum(label).over(group)).filter("_n > 0")
+    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(own).persist()
+    model = Boosted(features, [], np.zeros(len(features)))
+    try:
+        for _ in range(rounds):
+            scored = data.withColumn("_s", model.score()).withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(group)))
+            p = F.col("_e") / F.sum("_e").over(group)
+            steps = scored.withColumn("_p", p).withColumns({"_g": F.col(label) / F.col("_n") - F.col("_p"), "_h": F.col("_p") * (1 - F.col("_p"))}).select("_x", "_g", "_h").persist()
+            tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=depth, minInstancesPerNode=least, seed=0).setLeafCol("_leaf").fit(steps)
+            sums = tree.transform(steps).groupBy("_leaf").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()  # one row a leaf
+            leaf = {int(r["_leaf"]): rate * r["g"] / (r["h"] + 1e-3) for r in sums}
+            steps.unpersist()
+            order = iter(range(2**depth))  # leaves are numbered from left to right
+
+            def node(n, leaf=leaf, order=order):
+                if n.numDescendants() == 0:
+                    return {"value": leaf.get(next(order), 0.0)}
+                split = n.split()
+                return {"feature": split.featureIndex(), "at": split.threshold(), "left": node(n.leftChild(), leaf, order), "right": node(n.rightChild(), leaf, order)}
+
+            model.trees.append(node(tree._java_obj.rootNode()))
+            model.importance = [a + float(b) for a, b in zip(model.importance, tree.featureImportances.toArray(), strict=True)]
+    finally:
+        data.unpersist()
+    return model
+
+
 def ensemble(df: DataFrame, scores: Sequence[str], by: Sequence[str] = ("qid",), name: str = "score") -> DataFrame:
     """Sum of the scores' fractional ranks within each query."""
     return df.withColumn(name, sum((fractional_rank(s, by) for s in scores), F.lit(0.0)))

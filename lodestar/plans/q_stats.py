@@ -268,6 +268,12 @@ def r18(spark, sf):
     return spark.createDataFrame([(n, round(float(x), 4)) for n, x in zip(names, w, strict=True)], "feature string, weight double")
 
 
+@query("a33_importance_share")
+def a33(spark, sf):
+    rows = lines(spark, sf).withColumn("l_discount", F.coalesce("l_discount", F.lit(-1.0)))
+    return rounded(rerank.fit_boosted(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).shares(spark))
+
+
 @query("r19_mlp_score")
 def r19(spark, sf):
     model = rerank.RerankMLP.random(2, {k: 30 for k in rerank.EMBEDDINGS}, hidden=(16, 8))
@@ -309,7 +315,7 @@ def a27(spark, sf):
 @query("a17_pool_sizes", f"WITH d AS {CORPUS} SELECT lang AS want, loc, (SELECT count(*) FROM d x WHERE x.loc = k.loc) AS n, (SELECT count(*) FROM d x WHERE x.loc = k.loc AND x.lang = k.lang) AS n_passing FROM (SELECT DISTINCT a.lang, b.loc FROM {ASKED} a, d b) k")
 def a17(spark, sf):
     keys = asked(spark, sf).select(F.col("lang").alias("want")).distinct()
-    return pools.pool_sizes(corpus(spark, sf), "loc", keys, "want", F.col("lang") == F.col("want"))
+    return pools.pool_sizes(corpus(spark, sf), "loc", keys, "want", F.col("lang") == F.col("want"), ["lang"])
 
 
 @query("a18_cutoff_stats", f"""WITH d AS {CORPUS}, q AS {ASKED}, g AS (SELECT qid, q.lang = d.lang AS f, q.loc = d.loc AS g FROM q JOIN d ON d.loc IN (q.loc, (q.loc + 1) % 20) JOIN labels USING (doc_id) WHERE quality = 1), z AS (SELECT qid, (SELECT count(*) FROM d) AS n0, (SELECT count(*) FROM d WHERE d.lang = q.lang) AS n1, (SELECT count(*) FROM d WHERE d.loc = q.loc) AS n2, (SELECT count(*) FROM d WHERE d.loc = q.loc AND d.lang = q.lang) AS n3 FROM q),

@@ -157,6 +157,34 @@ def test_rrf_does_not_depend_on_list_order(spark):
     assert x == y and max(x, key=lambda t: t[1])[0] == 6
 
 
+def test_places_against_a_sort(spark):
+    r = random.Random(5)
+    rows = [(k, r.randint(1, 4)) for k in [None, *(f"k{i:04d}" for i in range(700))]]
+    df = spark.createDataFrame(rows, "k string, n long").repartition(7)
+    got = [tuple(x) for x in rank.places(df, [-F.col("n"), F.col("k")], "n", ranges=9).orderBy("place").select("k", "n", "place", "covered").collect()]
+    rows.sort(key=lambda x: (-x[1], x[0] or ""))
+    assert got == [(k, n, i + 1, sum(m for _, m in rows[: i + 1])) for i, (k, n) in enumerate(rows)]
+    assert rank.places(df.filter("n < 0"), [F.col("k")]).count() == 0
+    assert rank.places(df.filter("k = 'k0003'"), [F.col("k")]).first()["place"] == 1
+
+
+def test_sample_exact_is_the_head_of_the_sort(spark):
+    df = spark.createDataFrame([(None,), *((i,) for i in range(5000))], "k long")
+    for n in (0, 1, 777, 5001, 9000):
+        whole = df.orderBy(rank.hash_order(F.col("k"), 4), "k").limit(n)
+        assert sorted(map(str, rank.sample_exact(df, "k", n, 4).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_order_statistics_against_numpy(spark):
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, 50, 3001).astype(float), r.normal(size=3001)
+    df = spark.createDataFrame([(x, y if i % 3 else None, None) for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True))], "a double, b double, c double")
+    got = {x["name"]: x["values"] for x in profile.order_statistics(df, {c: F.col(c) for c in "abc"}, [0.0, 0.37, 0.5, 1.0]).collect()}
+    assert set(got) == {"a", "b"}
+    assert got["a"] == pytest.approx(np.quantile(a, [0, 0.37, 0.5, 1])) and got["b"] == pytest.approx(np.quantile(b[np.arange(3001) % 3 > 0], [0, 0.37, 0.5, 1]))
+    assert [x["value"] for x in profile.quantiles(df, "c", [0.5]).collect()] == [None]
+
+
 def test_fill_passes_places_on(spark):
     ranked = lambda ids: spark.createDataFrame([(1, i, n + 1) for n, i in enumerate(ids)], "q int, i int, rank int")
     got = rank.fill([(ranked([1, 2, 3]), 2), (ranked([2]), 4), (ranked([3, 2, 9, 8, 7]), 5)], "q", "i").orderBy("cand_rank").collect()
@@ -291,6 +319,33 @@ def test_fit_listwise_learns(spark):
     assert w[0] > 0.5 and w[1] < -0.2
 
 
+def test_fit_boosted_learns_what_a_line_cannot(spark):
+    r = random.Random(3)
+    rows = [(q, x, y, int((x > 0.5) != (y > 0.5) and r.random() < 0.9)) for q in range(150) for x, y in [(r.random(), r.random()) for _ in range(8)]]
+    df = spark.createDataFrame(rows, "qid int, x double, y double, label int").withColumn("z", F.lit(1.0))
+    model = rerank.Boosted.from_json(rerank.fit_boosted(df, ["x", "y", "z"], rounds=8).to_json())
+    loss = lambda s: rerank.listwise_loss(df.withColumn("score", s)).agg(F.avg("loss")).first()[0]
+    # no scores lose less than a group's positives in equal shares; trees close most of the way there, a line can't
+    least = df.groupBy("qid").agg(F.sum("label").alias("n")).agg(F.sum(F.when(F.col("n") > 0, F.log("n"))) / F.count("*")).first()[0]
+    weights = rerank.fit_listwise(df, ["x", "y"], rounds=10)
+    closed = lambda s: (loss(F.lit(0.0)) - loss(s)) / (loss(F.lit(0.0)) - least)
+    assert closed(model.score()) > 0.5 and closed(F.col("x") * float(weights[0]) + F.col("y") * float(weights[1])) < 0.2
+    share = dict(map(tuple, model.shares(spark).collect()))
+    assert sum(share.values()) == pytest.approx(1) and share["z"] == 0 and min(share["x"], share["y"]) > 0.2
+
+
+def test_leaf_steps_are_newtons(spark):
+    rows = [(q, float(i), int(i >= 6)) for q in range(40) for i in range(8)]
+    df = spark.createDataFrame(rows, "qid int, x double, label int")
+    model = rerank.fit_boosted(df, ["x"], rounds=1, depth=1, rate=1.0, least=1)
+    root = model.trees[0]
+    assert 5 <= root["at"] < 6
+    h = 1 / 8 * 7 / 8
+    # 6 rows below at gradient 0 - 1/8, 2 above at 1/2 - 1/8, times 40 queries
+    assert root["left"]["value"] == pytest.approx(240 * -1 / 8 / (240 * h + 1e-3))
+    assert root["right"]["value"] == pytest.approx(80 * 3 / 8 / (80 * h + 1e-3))
+
+
 def test_mlp_matches_numpy(spark):
     sizes = dict.fromkeys(rerank.EMBEDDINGS, 5)
     model = rerank.RerankMLP.random(2, sizes, hidden=(7,), text_in=4, text_dim=3, seed=1)
