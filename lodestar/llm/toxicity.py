@@ -18,6 +18,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -201,19 +202,16 @@ class Model:
     def predict(self, texts: list[str | None]) -> dict[str, list]:
         if self.weights is None:
             return {"score": [0.0] * len(texts), "predicted": [0] * len(texts)}
-        w, known = self.weights, self.known
+        w, known = self.weights.tolist(), self.known
         if len(known) > 1_000_000:
             known.clear()
 
         def odds(text: str | None) -> float:
-            total = 0.0
-            # in order of words, so that equal texts have equal sums everywhere
-            for word in sorted(set(WORD.findall((text or "").lower()))):
-                own = known.get(word)
-                if own is None:
-                    own = known[word] = float(sum(w[[*places(word), *self.voters.places(word)]].tolist()))
-                total += own
-            return total + sum(w[self.voters.marks(text)].tolist()) + float(w[-1])
+            words = set(WORD.findall((text or "").lower()))
+            for word in words.difference(known):
+                known[word] = sum(w[i] for i in (*places(word), *self.voters.places(word)))
+            # an exactly rounded sum has no order, so equal texts have equal sums everywhere
+            return math.fsum(map(known.__getitem__, words)) + sum(w[i] for i in self.voters.marks(text)) + w[-1]
 
         score = 1 / (1 + np.exp(-np.clip(np.array([odds(t) for t in texts]), -30, 30)))
         return {"score": score.tolist(), "predicted": (score >= THRESHOLD).astype(int).tolist()}
