@@ -1,17 +1,18 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Words are 64-bit hashes. Level one of the trie is the vocabulary: sorted hashes as Elias-Fano segments, exact counts,
-quantised back-off weights and monotone pointers to level two. Level two holds, context after context, the word
-numbers that follow it, each added to the last number of the context before, so that the whole level is one monotone
-sequence; a bigram is looked up by a successor search for (its context's base + word number) within the context's
-range. Its smoothed log-probability is stored in 16 bits.
-
-Probabilities: unigrams (c + 0.5) / (N + 0.5 (V + 1)); bigrams of at least min_count occurrences by absolute discounting
-(D = 0.75), interpolated with the unigram; what discounts and rarer bigrams leave goes to the back-off weight of their
-context, so each context's probabilities sum to one. The query keeps every bigram (min_count = 1); train's default drops
-those seen once.
-
-Counts are taken over all training rows in Spark. Both levels are built in segments by executors, which write each to a file of
+Words are 64-bit hashes. Level one of the trie is the vocabulary: sorted hashes as Elias-Fano segments and exact counts.
+Level two holds, context after context, the word numbers that follow it, each added to the last number of the context
+before, so that the whole level is one monotone sequence, with monotone pointers to where each context begins; a bigram is
+looked up by a successor search for (its context's base + word number) within the context's range. Level three does the
+same with bigrams, by their places in level two, as contexts; those without followers of their own are left out by one
+more monotone sequence. Smoothed log-probabilities and back-off weights are stored in 16 bits.
+
+Probabilities: unigrams (c + 0.5) / (N + 0.5 (V + 1)); bigrams of at least min_count occurrences, and trigrams of two or
+more whose bigrams are kept, by absolute discounting (D = 0.75), interpolated with the next lower order; what discounts
+and rarer n-grams leave goes to the back-off weight of their context, so each context's probabilities sum to one. The
+query keeps every bigram (min_count = 1); train's default drops those seen once.
+
+Counts are taken over all training rows in Spark. All levels are built in segments by executors, which write each to a file of
 its own in the shared folder; nothing passes through the driver. Workers map the files in place if the folder is a mounted
 one, else each machine fetches them once and maps its copy; no machine holds them in heap memory. The files grow with the
 corpus.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from .elias_fano import EliasFano
 from .shingles import U, mix, words
 
 END = mix(np.array([0xE2D], U))[0]
-MIN_COUNT, DISCOUNT = 2, 0.75
-#: Words of a vocabulary segment, and bigrams (counted once for each task) of a level-two segment, on average.
+MIN_COUNT, TRIGRAM_COUNT, DISCOUNT = 2, 2, 0.75
+#: Words of a vocabulary segment, and n-grams (counted once for each task) of a segment of a higher level, at most on average.
 SEGMENT_WORDS, SEGMENT_PAIRS = 1 << 20, 4 << 20
 #: Tokens that a counting task gathers before it emits distinct ones.
 GATHER = 4_000_000
@@ -100,44 +101,128 @@ class Vocabulary:
         return out
 
 
+class Followers:
+    """What follows each of a run of contexts: word numbers as one monotone sequence, their probabilities, back-off weights."""
+
+    def __init__(self, data: np.ndarray, at: int = 0):
+        self.pointers, at = EliasFano.load(data, at)
+        self.codes, at = EliasFano.load(data, at)
+        n = self.pointers.n - 1
+        self.gamma = data[at : at + 2 * n].view(np.uint16)
+        at += 2 * n
+        self.end = at + 2 * self.codes.n
+        self.probability = data[at : self.end].view(np.uint16)
+
+    @staticmethod
+    def build(context: np.ndarray, word: np.ndarray, gamma: np.ndarray, probability: np.ndarray) -> bytes:
+        """context: of each follower, ascending, below len(gamma); word: ascending within a context."""
+        size = np.bincount(context, minlength=len(gamma))
+        pointers = np.append(0, np.cumsum(size))
+        # each context's word numbers go on from one behind the last of the context before
+        last = np.flatnonzero(np.append(np.diff(context), 1)) if len(context) else np.empty(0, np.int64)
+        lift = np.append(0, np.cumsum(word[last] + 1)[:-1]) if len(last) else np.empty(0, np.int64)
+        codes = EliasFano.build((word + np.repeat(lift, size[size > 0])).astype(U))
+        return EliasFano.build(pointers.astype(U)).dump() + codes.dump() + quantise(np.log10(np.maximum(gamma, 1e-15))).tobytes() + quantise(np.log10(probability)).tobytes()
+
+    def _base(self, begin: np.ndarray) -> np.ndarray:
+        base = np.zeros(len(begin), U)
+        later = begin > 0
+        base[later] = self.codes.get(begin[later] - 1) + U(1)
+        return base
+
+    def score(self, contexts: np.ndarray, which: np.ndarray, numbers: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of word numbers after contexts[which], and their places here (-1: none). lower: log10 of the next lower order."""
+        begin, end = self.pointers.get(contexts).astype(np.int64), self.pointers.get(contexts + 1).astype(np.int64)
+        base = self._base(begin)
+        value, place = lower - self.gamma[contexts].astype(float)[which] / STEPS, np.full(len(which), -1, np.int64)
+        asked = np.flatnonzero((begin < end)[which] & (numbers >= 0))
+        found = self.codes.find(base[which[asked]] + numbers[asked].astype(U))
+        hit = (found >= begin[which[asked]]) & (found < end[which[asked]])
+        value[asked[hit]] = self.probability[found[hit]].astype(float) / -STEPS
+        place[asked[hit]] = found[hit]
+        return value, place
+
+    def words(self, places: np.ndarray) -> np.ndarray:
+        """Word numbers of the followers at these places."""
+        context = self.pointers.successor(places + 1) - 1
+        return (self.codes.get(places) - self._base(self.pointers.get(context).astype(np.int64))).astype(np.int64)
+
+
 class Bigrams:
-    """Level two, memory-mapped. index: for each segment its first context and file."""
+    """Level two, memory-mapped. index: for each segment its first context and file. Bigrams are numbered through all segments."""
 
     def __init__(self, index: tuple[tuple[int, str], ...]):
         self.first = np.array([x[0] for x in index], np.int64)
-        self.segments = []
+        self.segments, self.often = [], []
         for _, where in index:
             data = _mapped(where)
-            pointers, at = EliasFano.load(data)
-            codes, at = EliasFano.load(data, at)
-            n = pointers.n - 1
-            gamma = data[at : at + 2 * n].view(np.uint16)
-            at += 2 * n
-            self.segments.append((pointers, codes, gamma, data[at : at + 2 * codes.n].view(np.uint16)))
-
-    def score(self, contexts: np.ndarray, which: np.ndarray, numbers: np.ndarray, log_unigram: np.ndarray) -> np.ndarray:
-        """log10 probability of word numbers after contexts[which]; contexts sorted, which ascending. log_unigram: of the words."""
-        out = np.empty(len(which))
+            self.segments.append(Followers(data))
+            self.often.append(data[self.segments[-1].end :])
+        self.starts = np.cumsum([0, *(s.codes.n for s in self.segments)])
+
+    def score(self, contexts: np.ndarray, which: np.ndarray, numbers: np.ndarray, log_unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of word numbers after contexts[which], and the bigrams' numbers (-1: none); contexts sorted, which ascending."""
+        out, place = np.empty(len(which)), np.full(len(which), -1, np.int64)
         edge = [*np.searchsorted(contexts, self.first), len(contexts)]
-        for k, (pointers, codes, gamma, probability) in enumerate(self.segments):
-            own = contexts[edge[k] : edge[k + 1]] - self.first[k]
-            if not len(own):
+        for k, segment in enumerate(self.segments):
+            if edge[k] == edge[k + 1]:
                 continue
-            begin, end = pointers.get(own).astype(np.int64), pointers.get(own + 1).astype(np.int64)
-            base = np.zeros(len(own), U)
-            later = begin > 0
-            base[later] = codes.get(begin[later] - 1) + U(1)
             a, b = np.searchsorted(which, [edge[k], edge[k + 1]])
-            at = which[a:b] - edge[k]
-            value = log_unigram[a:b] - gamma[own].astype(float)[at] / STEPS
-            asked = np.flatnonzero((begin < end)[at] & (numbers[a:b] >= 0))
-            found = codes.find(base[at[asked]] + numbers[a:b][asked].astype(U))
-            hit = (found >= begin[at[asked]]) & (found < end[at[asked]])
-            value[asked[hit]] = probability[found[hit]].astype(float) / -STEPS
-            out[a:b] = value
+            out[a:b], own = segment.score(contexts[edge[k] : edge[k + 1]] - self.first[k], which[a:b] - edge[k], numbers[a:b], log_unigram[a:b])
+            place[a:b] = np.where(own >= 0, own + self.starts[k], -1)
+        return out, place
+
+    def _by_segment(self, bigrams: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
+        edge = np.searchsorted(bigrams, self.starts)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            own = slice(edge[k], edge[k + 1])
+            yield k, own, bigrams[own] - self.starts[k]
+
+    def words(self, bigrams: np.ndarray) -> np.ndarray:
+        """Second word of each bigram; bigrams sorted."""
+        out = np.empty(len(bigrams), np.int64)
+        for k, own, places in self._by_segment(bigrams):
+            out[own] = self.segments[k].words(places)
+        return out
+
+    def repeated(self, bigrams: np.ndarray) -> np.ndarray:
+        """Whether each occurs more than once in training; bigrams sorted, -1 (no bigram) first."""
+        out = np.zeros(len(bigrams), bool)
+        for k, own, places in self._by_segment(bigrams):
+            out[own] = self.often[k][places >> 3] >> (places & 7).astype(np.uint8) & 1
         return out
 
 
+class Trigrams:
+    """Level three, memory-mapped. Segment k has the bigrams from k * span; of these, only those that have followers of their own."""
+
+    def __init__(self, files: tuple[str, ...], bigrams: int):
+        self.span, self.segments = _span(bigrams, len(files)), []
+        for where in files:
+            data = _mapped(where)
+            owners, at = EliasFano.load(data)
+            self.segments.append((owners, Followers(data, at)))
+
+    def score(self, contexts: np.ndarray, which: np.ndarray, numbers: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 probability of word numbers after the bigrams contexts[which]; contexts sorted, which ascending. lower: by level two."""
+        out = lower.copy()
+        edge = np.searchsorted(contexts, np.arange(len(self.segments) + 1) * self.span)
+        for k, (owners, followers) in enumerate(self.segments):
+            a, b = np.searchsorted(which, [edge[k], edge[k + 1]])
+            if a == b:
+                continue
+            own = owners.find(contexts[edge[k] : edge[k + 1]] - k * self.span)
+            at = own[which[a:b] - edge[k]]
+            has = np.flatnonzero(at >= 0)
+            used, again = np.unique(at[has], return_inverse=True)
+            out[a + has] = followers.score(used, again, numbers[a:b][has], lower[a:b][has])[0]
+        return out
+
+
+def _span(bigrams: int, segments: int) -> int:
+    return max(-(-bigrams // segments), 1)
+
+
 @functools.lru_cache(2)
 def _vocabulary(index: tuple) -> Vocabulary:
     return Vocabulary(index)
@@ -148,6 +233,11 @@ def _bigrams(index: tuple) -> Bigrams:
     return Bigrams(index)
 
 
+@functools.lru_cache(2)
+def _trigrams(files: tuple, bigrams: int) -> Trigrams:
+    return Trigrams(files, bigrams)
+
+
 def _written(blobs: DataFrame, order: str) -> dict[int, str]:
     """Writes binary rows (order, blob) to files of their own in the shared folder, from the tasks that made them; where workers find each.
 
@@ -178,11 +268,12 @@ def _written(blobs: DataFrame, order: str) -> dict[int, str]:
 
 
 class Model:
-    """What tasks need to score: indexes of the two levels' files, and totals."""
+    """What tasks need to score: indexes of the levels' files, and totals."""
 
     def __init__(self, vocabulary: tuple, total: int, distinct: int):
         self.vocabulary, self.total, self.distinct = vocabulary, total, distinct
         self.bigrams: tuple | None = None
+        self.trigrams: tuple | None = None
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -195,6 +286,20 @@ class Model:
         context[first] = len(unique)
         return _vocabulary(self.vocabulary).find(unique), which, context, first
 
+    def paired(self, numbers: np.ndarray, which: np.ndarray, context: np.ndarray, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token the number of its pair with the token before (-1: that one is unknown); of the pairs, which ascend as
+        bigrams do, log10 probability and bigram (-1: none)."""
+        contexts = np.append(numbers, self.distinct)  # ascending but for the unknown, as hashes are
+        known = np.flatnonzero(contexts[context] >= 0)
+        wide = len(numbers)
+        pair, again = np.unique(context[known] * wide + which[known], return_inverse=True)
+        of, word = pair // wide, pair % wide
+        used, at = np.unique(of, return_inverse=True)
+        log10, bigram = _bigrams(self.bigrams).score(contexts[used], at, numbers[word], unigram[word])
+        pairs = np.full(len(which), -1, np.int64)
+        pairs[known] = again
+        return pairs, log10, bigram
+
     def score(self, texts: list[bytes | None]) -> dict[str, list]:
         if not texts:
             return {k: [] for k in SCORED}
@@ -203,19 +308,29 @@ class Model:
         unigram = self.unigram(counts)
         base = unigram[which]
         log10 = base.copy()
-        contexts = np.append(numbers, self.distinct)  # ascending but for the unknown, as hashes are
         if self.bigrams:
-            known = np.flatnonzero(contexts[context] >= 0)
-            wide = len(numbers)
-            pair, again = np.unique(context[known] * wide + which[known], return_inverse=True)
-            of, word = pair // wide, pair % wide
-            used, at = np.unique(of, return_inverse=True)
-            log10[known] = _bigrams(self.bigrams).score(contexts[used], at, numbers[word], unigram[word])[again]
+            pairs, of_pair, bigram = self.paired(numbers, which, context, unigram)
+            log10[pairs >= 0] = of_pair[pairs[pairs >= 0]]
+            before = _before(pairs, first)
+            asked = np.flatnonzero((before >= 0) & (bigram[before] >= 0)) if self.trigrams and len(bigram) else ()
+            if len(asked):
+                wide = len(numbers)
+                three, at, again = np.unique(before[asked] * wide + which[asked], return_index=True, return_inverse=True)
+                used, of = np.unique(three // wide, return_inverse=True)
+                level = _trigrams(self.trigrams, int(_bigrams(self.bigrams).starts[-1]))
+                log10[asked] = level.score(bigram[used], of, numbers[three % wide], log10[asked[at]])[again]
         sums = lambda x: np.add.reduceat(x, first).tolist()
         n = np.diff(np.append(first, len(which)))
         return {"n_tokens": n.tolist(), "n_known": sums((counts > 0).astype(np.int64)[which]), "base_score": sums(base), "score": sums(log10)}
 
 
+def _before(pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each token the pair that ends in the token before; -1 for a text's first token."""
+    out = np.roll(pairs, 1)
+    out[first] = -1
+    return out
+
+
 SCORED = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
 
 
@@ -265,74 +380,139 @@ def _vocabulary_of(rows: DataFrame) -> Model:
     return Model(tuple(index), total, distinct)
 
 
-def _bigrams_of(rows: DataFrame, model: Model, documents: int, min_count: int) -> None:
-    """Level two from rows (_text), added to the model."""
-    wide, shards = U(model.distinct + 1), model.total // SEGMENT_PAIRS + 1
-    span = -(-(model.distinct + 1) // shards)  # contexts of a segment; word numbers follow hashes, so spans are alike
+def _counted(rows: DataFrame, shards: int, codes: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(k, pairs, counts): distinct codes and their counts, packed, for each shard and GATHER tokens or so; an empty row for each shard.
+
+    codes: of texts, the shard of each n-gram and its code within the shard.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            pair, c = np.unique(np.concatenate(held), return_counts=True)
-            edge = np.searchsorted(pair, [U(k * span) * wide for k in range(shards)]).tolist() + [len(pair)]
+            shard, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if shards > 1:
+                order = np.argsort(shard, kind="stable")
+                shard, code = shard[order], code[order]
+            edge = np.searchsorted(shard, np.arange(shards + 1, dtype=shard.dtype)).tolist()
             for k in range(shards):
-                a, b = edge[k], edge[k + 1]
-                if a < b:
-                    own = pair[a:b] - U(k * span) * wide
-                    small = np.minimum(c[a:b], 255).astype(np.uint8)
-                    large = c[a:b][small == 255].astype(np.int64)
+                if edge[k] < edge[k + 1]:
+                    own, c = np.unique(code[edge[k] : edge[k + 1]], return_counts=True)
+                    small = np.minimum(c, 255).astype(np.uint8)
+                    large = c[small == 255].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([EliasFano.build(own).dump()]), pa.array([small.tobytes() + large.tobytes()])], names=["k", "pairs", "counts"])
 
         for batch in batches:
             for part in common.slices(batch.column(0).to_pylist(), 4):
-                numbers, which, context, _ = model.numbered(batch.column(0)[part].to_pylist())
-                held.append(np.append(numbers, model.distinct).astype(U)[context] * wide + numbers.astype(U)[which])
-                n += len(which)
+                held.append(codes(batch.column(0)[part].to_pylist()))
+                n += len(held[-1][0])
                 if n > GATHER:
                     yield from out()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from out()
 
+    found = rows.select("_text").mapInArrow(count, "k int, pairs binary, counts binary")
+    empty = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("k"), F.lit(EliasFano.build(np.empty(0, U)).dump()).alias("pairs"), F.lit(b"").alias("counts"))
+    return found.union(empty)
+
+
+def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes of a shard's rows, and their counts."""
+    flat, counts = [], []
+    for packed, c in zip(group.column("pairs").to_pylist(), group.column("counts").to_pylist(), strict=True):
+        codes, _ = EliasFano.load(np.frombuffer(packed, np.uint8))
+        flat.append(codes.get(np.arange(codes.n, dtype=U)))
+        own = np.frombuffer(c, np.uint8, codes.n).astype(np.int64)
+        own[own == 255] = np.frombuffer(c[codes.n :], np.int64)
+        counts.append(own)
+    flat = np.concatenate(flat)
+    order = np.argsort(flat, kind="stable")
+    flat, c = flat[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.diff(flat, prepend=flat[0] + U(1))) if len(flat) else np.empty(0, np.int64)
+    return flat[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def _bigrams_of(rows: DataFrame, model: Model, documents: int, min_count: int) -> None:
+    """Level two from rows (_text), added to the model."""
+    wide, shards = U(model.distinct + 1), model.total // SEGMENT_PAIRS + 1
+    span = -(-(model.distinct + 1) // shards)  # contexts of a segment; word numbers follow hashes, so spans are alike
+
+    def codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+        numbers, which, context, _ = model.numbered(texts)
+        before = np.append(numbers, model.distinct)[context]
+        return (before // span).astype(np.uint32), (before % span).astype(U) * wide + numbers.astype(U)[which]
+
     def build(group: pa.Table) -> pa.Table:
         k = group.column("k")[0].as_py()
-        pairs, counts = [], []
-        for packed, c in zip(group.column("pairs").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            codes, _ = EliasFano.load(np.frombuffer(packed, np.uint8))
-            pairs.append(codes.get(np.arange(codes.n, dtype=U)))
-            own = np.frombuffer(c, np.uint8, codes.n).astype(np.int64)
-            own[own == 255] = np.frombuffer(c[codes.n :], np.int64)
-            counts.append(own)
-        flat = np.concatenate(pairs)
-        order = np.argsort(flat, kind="stable")
-        flat, c = flat[order], np.concatenate(counts)[order]
-        first = np.flatnonzero(np.diff(flat, prepend=flat[0] + U(1)))
-        flat, c = flat[first], np.add.reduceat(c, first)
+        flat, c = _merged(group)
         kept = c >= min_count
         flat, c = flat[kept], c[kept]
         context, word = (flat // wide).astype(np.int64), (flat % wide).astype(np.int64)
-        n = min(span, model.distinct + 1 - k * span)
+        n = max(min(span, model.distinct + 1 - k * span), 0)
         numbers = np.arange(k * span, k * span + n)
         vocabulary = _vocabulary(model.vocabulary)
         seen = np.where(numbers < model.distinct, vocabulary.count(np.minimum(numbers, model.distinct - 1)), documents).astype(float)
         gamma = 1 - np.bincount(context, c - DISCOUNT, n) / np.maximum(seen, 1)
         probability = (c - DISCOUNT) / seen[context] + gamma[context] * 10 ** model.unigram(vocabulary.count(word))
-        size = np.bincount(context, minlength=n)
-        pointers = np.append(0, np.cumsum(size))
-        # each context's word numbers go on from one behind the last of the context before
-        last = np.flatnonzero(np.append(np.diff(context), 1)) if len(context) else np.empty(0, np.int64)
-        lift = np.append(0, np.cumsum(word[last] + 1)[:-1]) if len(last) else np.empty(0, np.int64)
-        codes = EliasFano.build((word + np.repeat(lift, size[size > 0])).astype(U))
-        blob = EliasFano.build(pointers.astype(U)).dump() + codes.dump() + quantise(np.log10(np.maximum(gamma, 1e-15))).tobytes() + quantise(np.log10(probability)).tobytes()
+        blob = Followers.build(context, word, gamma, probability) + np.packbits(c > 1, bitorder="little").tobytes()
         return pa.table({"k": pa.array([k], pa.int32()), "blob": [blob]})
 
-    found = rows.select("_text").mapInArrow(count, "k int, pairs binary, counts binary")
-    empty = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("k"), F.lit(EliasFano.build(np.empty(0, U)).dump()).alias("pairs"), F.lit(b"").alias("counts"))
-    files = _written(found.union(empty).groupBy("k").applyInArrow(build, "k int, blob binary"), "k")
+    files = _written(_counted(rows, shards, codes).groupBy("k").applyInArrow(build, "k int, blob binary"), "k")
     model.bigrams = tuple((k * span, files[k]) for k in sorted(files))
 
 
+def _trigrams_of(rows: DataFrame, model: Model) -> None:
+    """Level three from rows (_text), added to the model.
+
+    A trigram seen twice has both its bigrams seen twice. So only what follows repeated bigrams is counted, and followers that
+    don't make a repeated bigram with the word before count as one, REST, which adds up to their context's count only.
+    """
+    rest, wide, shards = model.distinct, U(model.distinct + 1), model.total // SEGMENT_PAIRS + 1
+
+    def level() -> tuple[Bigrams, int]:
+        two = _bigrams(model.bigrams)
+        return two, _span(int(two.starts[-1]), shards)
+
+    def codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+        two, span = level()
+        numbers, which, context, first = model.numbered(texts)
+        pairs, _, bigram = model.paired(numbers, which, context, np.zeros(len(numbers)))
+        often = np.zeros(len(bigram), bool)
+        often[bigram >= 0] = two.repeated(bigram[bigram >= 0])
+        before = _before(pairs, first)
+        own = np.flatnonzero((before >= 0) & often[before])
+        word = np.where(often[pairs[own]], numbers[which[own]], rest)  # every word before is known here, so each token has a pair
+        of = bigram[before[own]]
+        return (of // span).astype(np.uint32), (of % span).astype(U) * wide + word.astype(U)
+
+    def build(group: pa.Table) -> pa.Table:
+        two, span = level()
+        k = group.column("k")[0].as_py()
+        flat, c = _merged(group)
+        owner, word = (flat // wide).astype(np.int64), (flat % wide).astype(np.int64)
+        every, of = np.unique(owner, return_inverse=True)
+        seen = np.bincount(of, c, len(every))
+        kept = (c >= TRIGRAM_COUNT) & (word != rest)
+        c, word = c[kept], word[kept]
+        used, context = np.unique(of[kept], return_inverse=True)
+        owners, seen = every[used], seen[used]
+        gamma = 1 - np.bincount(context, c - DISCOUNT, len(owners)) / seen
+        middle = two.words(owners + k * span)[context]
+        order = np.lexsort((word, middle))
+        unigram = model.unigram(_vocabulary(model.vocabulary).count(word[order]))
+        begin, which = np.unique(middle[order], return_inverse=True)
+        lower = np.empty(len(word))
+        lower[order] = two.score(begin, which, word[order], unigram)[0]
+        probability = (c - DISCOUNT) / seen[context] + gamma[context] * 10**lower
+        blob = EliasFano.build(owners.astype(U)).dump() + Followers.build(context, word, gamma, probability)
+        return pa.table({"k": pa.array([k], pa.int32()), "blob": [blob]})
+
+    files = _written(_counted(rows, shards, codes).groupBy("k").applyInArrow(build, "k int, blob binary"), "k")
+    model.trigrams = tuple(files[k] for k in sorted(files))
+
+
 def train(rows: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> Model:
     """A model of all rows."""
     common.bounded_batches(rows.sparkSession)
@@ -340,6 +520,7 @@ def train(rows: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -
     model = _vocabulary_of(rows)
     if model.distinct:
         _bigrams_of(rows, model, rows.count(), min_count)
+        _trigrams_of(rows, model)
     return model
 
 

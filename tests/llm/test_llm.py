@@ -631,29 +631,45 @@ def test_elias_fano(n, top):
     assert (e.find(q) >= 0).tolist() == np.isin(q, v).tolist()
 
 
+def trigram_logs(train, p1, min_count):
+    """log10 probabilities of a text's tokens, by counts of all training token lists (0: a text's start)."""
+    two = collections.Counter(x for own in train for x in zip([0, *own], own, strict=False))
+    three = collections.Counter(x for own in train for x in zip([0, *own], own, own[1:], strict=False))
+
+    def discounted(counts, least):
+        ctx, kept, lost = collections.Counter(), {k: c for k, c in counts.items() if c >= least}, collections.Counter()
+        for k, c in counts.items():
+            ctx[k[:-1]] += c
+        for k, c in kept.items():
+            lost[k[:-1]] += c - 0.75
+        return lambda k, lower: ((kept[k] - 0.75) / ctx[k[:-1]] if k in kept else 0) + (1 - lost[k[:-1]] / ctx[k[:-1]] if ctx[k[:-1]] else 1) * lower
+
+    p2, p3 = discounted(two, min_count), discounted(three, 2)
+
+    def logs(own):
+        two = [p2((a, w), p1(w)) for a, w in zip([0, *own], own, strict=False)]
+        three = [p3((a, b, w), p) for a, b, w, p in zip([0, *own], own, own[1:], two[1:], strict=False)]
+        return [math.log10(p) for p in two[:1] + three]
+
+    return logs
+
+
 def test_lm_against_counts(spark, odd, none):
     texts = [(i, t) for i, t in ODD] + [(20 + i, "the cat sat on the mat and the cat ran " * (i % 3 + 1)) for i in range(30)]
     df = table(spark, texts).withColumn("held", F.col("doc_id") % 4 == 1)
     model = lm.train(df.filter("held is null or not held"))
     rows = lm.score(df.withColumn("score", F.lit("x")), model).collect()
     flow = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t in texts]
-    one, two, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-    for (i, _), own in zip(texts, flow, strict=True):
-        if i is None or i % 4 != 1:
-            one.update(own)
-            two.update(zip([0, *own], own, strict=False))
-            ctx.update([0, *own[:-1]])
+    train = [own for (i, _), own in zip(texts, flow, strict=True) if i is None or i % 4 != 1]
+    one = collections.Counter(w for own in train for w in own)
     total, distinct = sum(one.values()), len(one)
     assert (model.total, model.distinct) == (total, distinct)
     p1 = lambda w: (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
-    kept = {k: c for k, c in two.items() if c >= 2}
-    lost = collections.Counter()
-    for (a, _), c in kept.items():
-        lost[a] += c - 0.75
+    logs = trigram_logs(train, p1, 2)
     want = collections.Counter()
     for (i, _), own in zip(texts, flow, strict=True):
         base = sum(math.log10(p1(w)) for w in own)
-        full = sum(math.log10(((kept[a, w] - 0.75) / ctx[a] if (a, w) in kept else 0) + (1 - lost[a] / ctx[a] if ctx[a] else 1) * p1(w)) for a, w in zip([0, *own], own, strict=False))
+        full = sum(logs(own))
         want[(i, len(own), sum(one[w] > 0 for w in own), round(base, 5))] += 1
         near = [r["score"] for r in rows if r["doc_id"] == i and r["n_tokens"] == len(own) and abs(r["base_score"] - base) < 1e-6 * abs(base) + 1e-9]
         assert near and min(abs(x - full) for x in near) < 2e-4 * len(own)
@@ -676,19 +692,35 @@ def test_lm_query_keeps_bigrams_seen_once(spark, tmp_path):
     table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     rows = lm.op6_lm_scoring(spark, str(tmp_path)).collect()
     flow = {i: [*t.split(), None] for i, t in texts}
-    one, two, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, own in flow.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            one.update(own)
-            two.update(zip([0, *own], own, strict=False))
-            ctx.update([0, *own[:-1]])
-    follow = collections.Counter(a for a, _ in two)
-    p1 = lambda w: (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))
-    p2 = lambda a, w: (max(two[a, w] - 0.75, 0) + 0.75 * follow[a] * p1(w)) / ctx[a] if ctx[a] else p1(w)
-    assert len(rows) == 40 and any(c == 1 for c in two.values())
+    train = [own for i, own in flow.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one = collections.Counter(w for own in train for w in own)
+    logs = trigram_logs(train, lambda w: (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1)), 1)
+    assert len(rows) == 40 and set(rows[0].asDict()) == {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
     for r in rows:
-        own = flow[r["doc_id"]]
-        assert abs(r["score"] - sum(math.log10(p2(a, w)) for a, w in zip([0, *own], own, strict=False))) < 2e-4 * len(own)
+        assert abs(r["score"] - sum(logs(flow[r["doc_id"]]))) < 2e-4 * len(flow[r["doc_id"]])
+
+
+def test_lm_segments_of_every_level(spark, monkeypatch):
+    """Many segments give the scores of one, and a trigram context's probabilities sum to one."""
+    r = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{x}" for x in r.zipf(1.5, 30) if x < 40)) for i in range(60)]
+    options = [f"w{x}" for x in range(1, 40)]
+    df = table(spark, texts)
+    asked = table(spark, [(k, "w1 w2 " + w) for k, w in enumerate(options)] + [(100 + i, t) for i, t in texts])
+    small = {x["doc_id"]: x["score"] for x in lm.score(asked, lm.train(df, min_count=1)).collect()}
+    monkeypatch.setattr(lm, "SEGMENT_WORDS", 4)
+    monkeypatch.setattr(lm, "SEGMENT_PAIRS", 100)
+    model = lm.train(df, min_count=1)
+    assert len(model.vocabulary) > 3 and len(model.bigrams) > 3 and len(model.trigrams) > 3
+    assert {x["doc_id"]: x["score"] for x in lm.score(asked, model).collect()} == pytest.approx(small, abs=1e-9)
+    train = [[*t.split(), None] for _, t in texts]
+    one = collections.Counter(w for own in train for w in own)
+    logs = trigram_logs(train, lambda w: (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1)), 1)
+    for i, t in [*enumerate("w1 w2 " + w for w in options), *((100 + i, t) for i, t in texts)]:
+        own = [*t.split(), None]
+        assert abs(small[i] - sum(logs(own))) < 2e-4 * len(own)
+    # of all words, the end and an unknown one after "w1 w2"
+    assert sum(10 ** logs(["w1", "w2", w])[2] for w in [*one, "unseen"]) == pytest.approx(1)
 
 
 # --- pipeline ----------------------------------------------------------------------------------------------------
