@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import standardise
 from ..functions.text import coverage, tokens
-from ..operators import features, geo, pools, rerank, split, stats
+from ..operators import features, geo, network, pools, rerank, split, stats
 from .bindings import ASKED, CORPUS, POINTS, STAR, asked, corpus, points, query, read, rounded, star
 
 # --- locations ---------------------------------------------------------------------------------------------------
@@ -274,12 +274,25 @@ def a33(spark, sf):
     return rounded(rerank.fit_boosted(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).shares(spark))
 
 
+def fitted(spark, sf):
+    """Rows with inputs of the network, its trained weights, what each epoch gave; columns of its numbers and codes."""
+    rows = lines(spark, sf).withColumns({k: (F.col("item_idx") % 30).cast("int") for k in rerank.EMBEDDINGS})
+    made = rerank.Preprocessor(["l_quantity", "l_tax"]).fit(rows).transform()
+    rows, codes = rows.withColumns(made), {k: k for k in rerank.EMBEDDINGS}
+    start = rerank.RerankMLP.random(len(made), {k: 30 for k in rerank.EMBEDDINGS})
+    model, history = network.fit_mlp(rows, start, list(made), codes)
+    return rows, model, history, list(made), codes
+
+
+@query("r18_fit_network")
+def r18_network(spark, sf):
+    return spark.createDataFrame([(h["epoch"], round(h["loss"], 6)) for h in fitted(spark, sf)[2]], "epoch int, loss double")
+
+
 @query("r19_mlp_score")
 def r19(spark, sf):
-    model = rerank.RerankMLP.random(2, {k: 30 for k in rerank.EMBEDDINGS}, hidden=(16, 8))
-    rows = lines(spark, sf).withColumns({k: (F.col("item_idx") % 30).cast("int") for k in rerank.EMBEDDINGS})
-    scored = rerank.predict(rows, model, ["l_quantity", "l_tax"], {k: k for k in rerank.EMBEDDINGS})
-    return rounded(scored.select("qid", "item_idx", "score"))
+    rows, model, _, numeric, codes = fitted(spark, sf)
+    return rounded(rerank.predict(rows, model, numeric, codes).select("qid", "item_idx", "score"))
 
 
 @query("r21_ensemble", f"WITH l AS {LINES}, f AS (SELECT qid, item_idx, " + " + ".join(f"(rank() OVER (PARTITION BY qid ORDER BY {s}) + (count(*) OVER (PARTITION BY qid, {s}) - 1) / 2) / count(*) OVER (PARTITION BY qid)" for s in ("l_quantity", "l_extendedprice")) + " AS score FROM l) SELECT qid, item_idx, round(score, 6) AS score FROM f")

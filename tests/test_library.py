@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import arrays, kv, numeric, stem, text
-from lodestar.operators import answer, candidates, dense, filters, geo, pools, preprocess, profile, rank, rerank, split, stats
+from lodestar.operators import answer, candidates, dense, filters, geo, network, pools, preprocess, profile, rank, rerank, split, stats
 from lodestar.plans import registry
 from lodestar.session import session, step
 from lodestar.sources import sinks, tables
@@ -360,6 +360,50 @@ def test_mlp_matches_numpy(spark):
 # --- answers, preprocessing, sources, sinks, streams -------------------------------------------------------------
 
 
+def test_network_gradients():
+    r = np.random.default_rng(3)
+    sizes = dict.fromkeys(rerank.EMBEDDINGS, 4)
+    w = rerank.RerankMLP.random(2, sizes, hidden=(6, 5), text_in=3, text_dim=2, seed=1).weights
+    n, starts = 12, np.array([0, 5, 7])
+    args = (r.normal(size=(n, 2)), {k: r.integers(0, 4, n) for k in sizes}, starts, np.array([1, 0, 0, 1, 0, 0, 1, 1, 0, 0, 0, 0.0]), r.normal(size=(n, 3)), r.normal(size=(n, 3)))
+    loss, g = network.gradients(w, *args)
+    s = rerank.RerankMLP(w).score(args[0], args[1], args[4], args[5])
+    groups = [(s[a:b], args[3][a:b]) for a, b in ((0, 5), (5, 7), (7, 12))]
+    assert loss == pytest.approx(np.mean([-(t / t.sum() * (x - np.log(np.exp(x).sum()))).sum() for x, t in groups]))
+    assert set(g) == set(w)
+    for k in w:
+        at = tuple(r.integers(0, d) for d in w[k].shape)
+        moved = []
+        for step in (1e-6, -1e-6):
+            other = {**w, k: w[k].copy()}
+            other[k][at] += step
+            moved.append(network.gradients(other, *args)[0])
+        assert (moved[0] - moved[1]) / 2e-6 == pytest.approx(g[k][at], abs=1e-6), k
+
+
+def test_network_learns_what_a_line_cannot(spark):
+    r = random.Random(7)
+    rows = []
+    for q in range(600):
+        made = [(r.uniform(-1, 1), r.uniform(-1, 1), r.randrange(5)) for _ in range(8)]
+        win = max(range(8), key=lambda i: made[i][0] * made[i][1])
+        rows += [(q, i, int(i == win and q % 50 > 0), *made[i]) for i in range(8)]  # some groups have no positive
+    df = spark.createDataFrame(rows, "qid long, item_idx int, label int, x double, y double, c int").withColumns({k: F.col("c") for k in rerank.EMBEDDINGS}).cache()
+    codes, val = {k: k for k in rerank.EMBEDDINGS}, df.filter("qid >= 400 and qid % 50 > 0")
+    n_pos = val.groupBy("qid").agg(F.sum("label").alias("n_pos"))
+    recall = lambda scored: rerank.top_k_recall(scored, "score", n_pos, 2).agg(F.avg("recall")).first()[0]
+    start = rerank.RerankMLP.random(2, dict.fromkeys(rerank.EMBEDDINGS, 5), hidden=(16,))
+    train = df.filter("qid < 400")
+    model, history = network.fit_mlp(train, start, ["x", "y"], codes, rate=0.02, groups=32, dropout=0.0, measure=lambda m: recall(rerank.predict(val, m, ["x", "y"], codes)), patience=4)
+    assert history[-1]["loss"] < 0.7 * history[0]["loss"]
+    w = rerank.fit_listwise(train, ["x", "y"], rounds=10)
+    straight = recall(val.withColumn("score", F.col("x") * float(w[0]) + F.col("y") * float(w[1])))
+    assert recall(rerank.predict(val, model, ["x", "y"], codes)) > straight + 0.2
+    assert max(h["measure"] for h in history) == pytest.approx(recall(rerank.predict(val, model, ["x", "y"], codes)))
+    same, none = network.fit_mlp(train.filter("label > 1"), start, ["x", "y"], codes)
+    assert none == [] and same is start
+
+
 def test_answer_rules(spark):
     q = spark.createDataFrame([("q" * 16,), ("r" * 16,)], "query_id string")
     items = spark.createDataFrame([(f"{i:016x}",) for i in range(60)], "item_id string")
