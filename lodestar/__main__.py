@@ -36,7 +36,9 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
         elif name == "train_reranker":
             own.add_argument("--name", default="listwise")
             own.add_argument("--drop-features", nargs="*", default=list(pipelines.DROPPED))
-            own.add_argument("--rounds", type=int, default=60)
+            own.add_argument("--kind", default="listwise", choices=list(pipelines.KINDS))
+            own.add_argument("--rounds", type=int, default=None)
+            own.add_argument("--baseline", default=None, help="an earlier model to compare with")
             own.add_argument("--top-k", type=int, default=50)
         elif name == "rerank_benchmark":
             own.add_argument("--models", nargs="+", default=["listwise"])
@@ -65,7 +67,7 @@ def main(argv: Sequence[str] | None = None, spark=None) -> None:
         elif a.step == "make_split":
             shown = pipelines.run_split(spark, p, pick(SplitConfig))
         elif a.step == "train_reranker":
-            shown = pipelines.run_train(spark, p, a.name, tuple(a.drop_features), a.rounds, a.top_k)
+            shown = pipelines.run_train(spark, p, a.name, tuple(a.drop_features), a.rounds, a.top_k, a.kind, a.baseline)
         elif a.step == "rerank_benchmark":
             shown = pipelines.run_rerank(spark, p, a.models, a.top_k, a.name, a.compare)
         else:

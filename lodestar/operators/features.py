@@ -13,7 +13,7 @@ from .rank import gap_to_best
 
 #: Columns of a feature table that no model reads.
 SERVICE = ("qid", "item_idx", "label", "fold", "val_part")
-CATEGORICAL = ("it_microcat", "it_category")
+CATEGORICAL = ("it_microcat", "it_category", "cat_query_category", "cat_item_loc", "cat_query_loc")
 
 
 def item_features(items: DataFrame, loc: str = "item_location_id") -> DataFrame:

@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import crc_bucket
+from ..functions.numeric import category_code, crc_bucket
 from ..functions.text import doc_text
-from ..operators import answer, candidates, evaluate, features, filters, geo, pools, preprocess, rank, rerank, split, stats
+from ..operators import answer, candidates, evaluate, features, filters, geo, network, pools, preprocess, rank, rerank, split, stats
 from ..operators.retrievers import Retriever, build_retrievers
 from ..sources import sinks, tables
 
@@ -299,47 +299,92 @@ def _features(spark: SparkSession, p: tables.Paths, s: Search, part: str, vector
     key = rows.withColumnRenamed("qid", "event_id") if part == "train" else rows.withColumn("event_id", F.lit(0).cast("long"))
     rows = stats.train_stats(keep(key), keep(pairs), part == "train")
     rows = rows.withColumnRenamed("event_id", "qid") if part == "train" else rows.drop("event_id")
-    keep = [c for c in rows.columns if c in ("qid", "item_id", "label", "fold", "val_part", "is_region") or c.startswith(("sc_", "geo_", "it_", "flt_", "q_", "st_"))]
+    rows = rows.withColumns({"cat_query_category": category_code(F.col("filter")["category"]), "cat_item_loc": F.col("item_location_id"), "cat_query_loc": F.col("search_location_id")})
+    keep = [c for c in rows.columns if c in ("qid", "item_id", "label", "fold", "val_part", "is_region") or c.startswith(("sc_", "geo_", "it_", "flt_", "q_", "st_", "cat_"))]
     sinks.write_table(rows.select(*keep), f"{p.rerank}/{part}_features.parquet")
 
 
 DROPPED = ("st_text_item", "st_item_pop_log", "item_id")
 
 
-def run_train(spark: SparkSession, p: tables.Paths, name: str = "listwise", drop: tuple[str, ...] = DROPPED, rounds: int = 60, top_k: int = 50) -> DataFrame:
-    """Fits the listwise scorer to train's features and reports recall on validation; returns the report."""
+#: The feature table's column for each of the network's embeddings.
+CODES = {"microcat": "it_microcat", "category": "it_category", "query_category": "cat_query_category", "item_loc": "cat_item_loc", "query_loc": "cat_query_loc"}
+#: Kinds of reranker and the rounds (for the network: epochs) that each takes by default.
+KINDS = {"listwise": 60, "boosted": 20, "mlp": 15}
+
+
+def run_train(spark: SparkSession, p: tables.Paths, name: str = "listwise", drop: tuple[str, ...] = DROPPED, rounds: int | None = None, top_k: int = 50, kind: str = "listwise", baseline: str | None = None) -> DataFrame:
+    """Fits a reranker of the kind to train's features and reports recall on validation, beside that of an earlier model (baseline) if named; returns the report."""
+    rounds, at = rounds or KINDS[kind], f"{p.root}/models/{name}"
     df = rank.groups_with_positive(tables.scan(spark, p.rerank, "train_features"), ["qid"]).persist()
     prep = rerank.Preprocessor(features.feature_columns(df, drop)).fit(df)
-    made = df.select("qid", "label", *(v.alias(k) for k, v in prep.transform().items())).persist()
-    names = [c for c in made.columns if c.startswith("x_")]
-    weights = rerank.fit_listwise(made, names, rounds=rounds)
-    model = {"preprocessor": json.loads(prep.to_json()), "features": names, "weights": [float(w) for w in weights]}
-    sinks.write_json_config(spark, model, f"{p.root}/models/{name}/model.json")
-    val = scored(spark, p, "val", model)
+    columns = prep.transform()
+    names = list(columns)
+    made = df.select("qid", "label", *set(CODES.values()), *(v.alias(k) for k, v in columns.items())).persist()
+    model = {"kind": kind, "preprocessor": json.loads(prep.to_json()), "features": names}
     events = tables.scan(spark, p.rerank, "val_events").select("qid", "n_pos", "val_part")
+    if kind == "listwise":
+        model["weights"] = [float(w) for w in rerank.fit_listwise(made, names, rounds=rounds)]
+    elif kind == "boosted":
+        model["boosted"] = json.loads(rerank.fit_boosted(made, names, rounds=rounds).to_json())
+    else:
+        sizes = {}
+        for key, column in CODES.items():
+            sinks.write_table(rerank.vocabulary(df, column), f"{at}/vocab_{key}.parquet")
+            sizes[key] = tables.scan(spark, at, f"vocab_{key}").count() + 1
+        tune = events.filter("val_part = 'tune'").select("qid", "n_pos")
+
+        def recall(net: rerank.RerankMLP) -> float:
+            own = scored(spark, p, "val", {**model, "weights": net.weights}, name)
+            return rerank.top_k_recall(own, "score", tune, top_k, item="item_id").agg(F.avg("recall")).first()[0] or 0.0
+
+        net, _ = network.fit_mlp(_coded(spark, made, at), rerank.RerankMLP.random(len(names), sizes), names, {k: f"code_{k}" for k in CODES}, epochs=rounds, measure=recall)
+        model["weights"] = {k: v.tolist() for k, v in net.weights.items()}
+    sinks.write_json_config(spark, model, f"{at}/model.json")
+    val = scored(spark, p, "val", model, name)
     region = val.groupBy("qid").agg(F.max("is_region").alias("is_region"))
     per_event = events.join(region, "qid", "left").withColumn("is_region", F.coalesce("is_region", F.lit(0)))
-    for measure, column, k in (("model", "score", top_k), ("first_stage", "first", top_k), ("ceiling", "score", 10**6)):
-        per_event = per_event.join(rerank.top_k_recall(val, column, events.select("qid", "n_pos"), k, item="item_id").withColumnRenamed("recall", measure), "qid")
-    table = rerank.report(per_event, "val_part", "is_region", ["model", "first_stage", "ceiling"], "first_stage")
-    sinks.write_csv(table, f"{p.root}/models/{name}/recall.csv", 6)
+    measured = [("model", val, "score", top_k), ("first_stage", val, "first", top_k), ("ceiling", val, "score", 10**6)]
+    if baseline:
+        measured.append(("baseline", scored(spark, p, "val", read_model(spark, p, baseline), baseline), "score", top_k))
+    for measure, rows, column, k in measured:
+        per_event = per_event.join(rerank.top_k_recall(rows, column, events.select("qid", "n_pos"), k, item="item_id").withColumnRenamed("recall", measure), "qid")
+    table = rerank.report(per_event, "val_part", "is_region", [m[0] for m in measured], "baseline" if baseline else "first_stage")
+    sinks.write_csv(table, f"{at}/recall.csv", 6)
     return table
 
 
-def scored(spark: SparkSession, p: tables.Paths, part: str, model: dict) -> DataFrame:
-    """A part's features with the model's score."""
-    df = tables.scan(spark, p.rerank, f"{part}_features")
-    prep = rerank.Preprocessor.from_json(json.dumps(model["preprocessor"]))
-    made = prep.transform()
-    total = sum((made[n] * float(w) for n, w in zip(model["features"], model["weights"], strict=True)), F.lit(0.0))
-    return df.withColumns({"score": F.round(total, 9), "first": -F.col("sc_cand_rank")})
+def read_model(spark: SparkSession, p: tables.Paths, name: str) -> dict:
+    return tables.read_json_config(spark, f"{p.root}/models/{name}/model.json")
+
+
+def _coded(spark: SparkSession, df: DataFrame, at: str) -> DataFrame:
+    """df with code_<key>, the number of each category in the vocabularies under `at`."""
+    for key, column in CODES.items():
+        df = rerank.encode(df, column, tables.scan(spark, at, f"vocab_{key}"), f"code_{key}")
+    return df
+
+
+def scored(spark: SparkSession, p: tables.Paths, part: str, model: dict, name: str) -> DataFrame:
+    """A part's features with the score of a model, whatever its kind; name: whose vocabularies it reads."""
+    df = tables.scan(spark, p.rerank, f"{part}_features").withColumn("first", -F.col("sc_cand_rank"))
+    made, names = rerank.Preprocessor.from_json(json.dumps(model["preprocessor"])).transform(), model["features"]
+    if model["kind"] == "listwise":
+        total = sum((made[n] * float(w) for n, w in zip(names, model["weights"], strict=True)), F.lit(0.0))
+        return df.withColumn("score", F.round(total, 9))
+    wide = df.withColumns(made)
+    if model["kind"] == "boosted":
+        return wide.withColumn("score", F.round(rerank.Boosted.from_json(json.dumps(model["boosted"])).score(), 9)).drop(*made)
+    wide = _coded(spark, wide, f"{p.root}/models/{name}")
+    codes = {k: f"code_{k}" for k in CODES}
+    return rerank.predict(wide, rerank.RerankMLP(model["weights"]), names, codes).drop(*made, *codes.values())
 
 
 def run_rerank(spark: SparkSession, p: tables.Paths, models: list[str], top_k: int = 50, name: str = "reranked", compare: str | None = None) -> DataFrame:
     """The final answer of the benchmark, from one model or the sum of several models' fractional ranks; returns its summary (or overlap with an earlier answer)."""
     rows: DataFrame | None = None
     for i, m in enumerate(models):
-        own = scored(spark, p, "benchmark", tables.read_json_config(spark, f"{p.root}/models/{m}/model.json")).select("qid", "item_id", F.col("score").alias(f"s{i}"))
+        own = scored(spark, p, "benchmark", read_model(spark, p, m), m).select("qid", "item_id", F.col("score").alias(f"s{i}"))
         rows = own if rows is None else rows.join(own, ["qid", "item_id"])
     assert rows is not None
     rows = rerank.ensemble(rows, [f"s{i}" for i in range(len(models))]) if len(models) > 1 else rows.withColumn("score", F.col("s0"))

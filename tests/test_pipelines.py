@@ -81,6 +81,12 @@ def test_from_raw_tables_to_answer(spark, root, tmp_path):
         assert c in wide.columns
     assert wide.filter("sc_BM25_gap > 0").count() == 0 and wide.filter("is_region = 1 and geo_dist_km is not null").count() == 0
     run(spark, "train_reranker", root, "--rounds", 5)
+    run(spark, "train_reranker", root, "--name", "trees", "--kind", "boosted", "--rounds", 1)
+    run(spark, "train_reranker", root, "--name", "net", "--kind", "mlp", "--rounds", 2, "--baseline", "listwise")
+    report = {r["area"]: r for r in spark.read.csv(f"{p.root}/models/net/recall.csv", header=True).filter("val_part = 'test'").collect()}
+    assert 0 <= float(report["all"]["model"]) <= float(report["all"]["ceiling"]) and "baseline" in report["all"]
+    run(spark, "rerank_benchmark", root, "--top-k", 5, "--models", "listwise", "trees", "net", "--name", "together")
+    assert tables.read_answer(spark, f"{p.results}/together/answer.csv").count() == 12
     run(spark, "rerank_benchmark", root, "--top-k", 5, "--compare", f"{p.results}/first_stage/answer.csv")
     assert tables.read_answer(spark, f"{p.results}/reranked/answer.csv").count() == 12
 
