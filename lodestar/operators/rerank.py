@@ -16,6 +16,7 @@ from ..functions.numeric import clip
 from .profile import order_statistics
 from .rank import fractional_rank, places
 
+# fixed values: features read as logarithms, widths of the embeddings and of the location affinity
 LOG_FEATURES = ("geo_dist_km",)
 EMBEDDINGS = {"microcat": 16, "category": 8, "query_category": 8, "item_loc": 16, "query_loc": 16}
 AFFINITY_DIM = 16
@@ -72,7 +73,7 @@ def encode(df: DataFrame, column: str, vocab: DataFrame, name: str) -> DataFrame
 
 
 class RerankMLP:
-    """A scorer with embeddings, a location affinity and a text part, for inference with numpy.
+    """A scorer with embeddings, a location affinity and a text part, in numpy; network.fit_mlp trains it.
 
     weights: arrays by name: emb_<category>, aff_query, aff_item, proj_q, proj_d (with _b for their biases), w0, b0, w1, b1 ...
     Inputs: numeric, category codes (keys of EMBEDDINGS), query and item vectors.
@@ -140,7 +141,7 @@ def listwise_loss(df: DataFrame, by: str = "qid", score: str = "score", label: s
 def fit_listwise(df: DataFrame, features: Sequence[str], by: str = "qid", label: str = "label", rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Weights of a linear scorer under the listwise loss, by gradient descent with Adam; each round is one aggregation of all groups.
 
-    Stands in for training of the network, whose library this environment lacks.
+    The network is trained by network.fit_mlp.
     """
     data = df.select(by, label, *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features))).persist()
     groups = data.groupBy(by).agg(F.max(label).alias("_best")).filter("_best > 0").count()
