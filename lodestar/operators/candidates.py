@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +12,15 @@ from .rank import fill, list_ranks, rank_pool, ranked, rrf, thin_negatives
 GEO, NEIGHBORS, EXTRA, FUSED = "geo", "nb", "extra", "RRF"
 
 
-def search(scores: dict[str, DataFrame], pools: DataFrame, members: DataFrame, query: str, pool: str, item: str, top_k: int, rrf_k: int = 60, depth: int = 200) -> DataFrame:
+def search(scores: dict[str, DataFrame], pools: DataFrame, members: DataFrame, query: str, pool: str, item: str, top_k: int, rrf_k: int = 60, depth: int = 200, inside: bool = False) -> DataFrame:
     """(query, retriever, item, rank): the first top_k of each retriever in the query's pool, and of their fusion.
 
-    scores: (query, item, score) by retriever. Pool members that a retriever gives no score rank behind as zeros.
+    scores: (query, item, score) by retriever. Pool members that a retriever gives no score rank behind as zeros. inside: as
+    for rank_pool.
     """
     lists: DataFrame | None = None
     for name, own in scores.items():
-        got = rank_pool(own, pools, members, query, pool, item, depth).select(query, F.lit(name).alias("retriever"), item, "rank")
+        got = rank_pool(own, pools, members, query, pool, item, depth, inside).select(query, F.lit(name).alias("retriever"), item, "rank")
         lists = got if lists is None else lists.unionByName(got)
     assert lists is not None
     out = lists.filter(F.col("rank") <= top_k)
@@ -35,11 +36,12 @@ def quotas(k: int, quota: float, nb_quota: float) -> tuple[int, int, int]:
     return k_geo, k_geo + round(k * nb_quota), k
 
 
-def generate(found: dict[str, DataFrame], query: str, item: str, k: int = 300, quota: float = 0.2, nb_quota: float = 0.0, gold: DataFrame | None = None, neg_top: int | None = None, neg_random: int = 0, seed: int = 0) -> DataFrame:
+def generate(found: dict[str, DataFrame], query: str, item: str, k: int = 300, quota: float = 0.2, nb_quota: float = 0.0, gold: DataFrame | Callable[[DataFrame], DataFrame] | None = None, neg_top: int | None = None, neg_random: int = 0, seed: int = 0) -> DataFrame:
     """(query, item, cand_rank from 0, source, rank_<retriever>_<pool>..., label).
 
     found: search() results by pool (geo, nb, extra). source: 0 geo, 2 neighbours, 1 elsewhere. gold: (query, item) of
-    positives, for labels; with neg_top negatives are thinned.
+    positives, for labels, or what picks them from (query, item) of candidates, so that the other pairs needn't be made;
+    with neg_top negatives are thinned.
     Lists are read several times, so they are persisted; spark.catalog.clearCache() frees them.
     """
     found = {p: df.persist() for p, df in found.items() if p != NEIGHBORS or nb_quota > 0}
@@ -60,7 +62,7 @@ def generate(found: dict[str, DataFrame], query: str, item: str, k: int = 300, q
     out = list_ranks(placed, lists, query, item, names, k)
     if gold is None:
         return out
-    hit = gold.select(query, item).distinct().withColumn("label", F.lit(1))
+    hit = (gold(out.select(query, item)) if callable(gold) else gold).select(query, item).distinct().withColumn("label", F.lit(1))
     out = out.join(hit, [query, item], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     return thin_negatives(out, [query], "label", "cand_rank", item, neg_top, neg_random, seed) if neg_top is not None else out
 

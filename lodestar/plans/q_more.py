@@ -9,7 +9,7 @@ from ..functions import arrays, kv
 from ..operators import bm25, features, pools, rank
 from ..sources import tables
 from .bindings import ASKED, CORPUS, STAR, asked, corpus, query, read, rounded, star
-from .q_rank import GOLD, QUOTA, gold_pairs, quota_candidates
+from .q_rank import GOLD, QUOTA, gold_among, quota_candidates
 from .q_tables import raw_items, wanted, WANTED, FIELDS
 
 # --- scans and projections ---------------------------------------------------------------------------------------
@@ -108,7 +108,7 @@ def j08(spark, sf):
 
 @query("j15_gold_labels", f"{QUOTA}, {GOLD} SELECT qid, doc_id, (gold.qid IS NOT NULL)::INT AS label FROM cand LEFT JOIN gold USING (qid, doc_id)")
 def j15(spark, sf):
-    return quota_candidates(spark, sf, gold=gold_pairs(spark, sf)).select("qid", "doc_id", "label")
+    return quota_candidates(spark, sf, gold=gold_among(spark, sf)).select("qid", "doc_id", "label")
 
 
 @query("j17_zero_fill", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 GROUP BY 1")
