@@ -1,13 +1,12 @@
-"""Exact dense retrieval on unit vectors.
+"""Exact dense retrieval.
 
-Queries are a stated set: they go to every task in blocks of bounded size (counted), each corpus partition multiplies
-its vectors with a block and keeps its own k best, and only these are shuffled.
+Every query meets every vector, so work is quadratic; memory isn't. Queries and corpus are cut into blocks by a hash of their
+keys, each pair of blocks is one task's group, and only a query's k best of a block leave it. Single precision finds what
+may be among the best, double precision scores it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +16,9 @@ from pyspark.sql import types as T
 from ..functions.numeric import dot
 from .rank import top_k
 
-BLOCK = 4096
+#: Rows of a block of queries and of the corpus; rows and columns that are multiplied at once.
+BLOCK, CORPUS_BLOCK = 32_768, 131_072
+ROWS, COLUMNS = 512, 4096
 
 
 def pair_scores(pairs: DataFrame, queries: DataFrame, query: str, corpus: DataFrame, item: str, vector: str = "embedding") -> DataFrame:
@@ -27,39 +28,79 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, query: str, corpus: DataFr
 
 
 def search(queries: DataFrame, query: str, corpus: DataFrame, item: str, k: int, vector: str = "embedding", digits: int = 6, exclude_self: bool = False) -> DataFrame:
-    """(query, item, score, rank): each query's k best of the corpus, scores rounded so that ties are the same everywhere."""
+    """(query, item, score, rank): each query's k best of the corpus, scores rounded so that ties are the same everywhere.
+
+    Ties go to the smaller item. Keys are unique.
+    """
     kinds = {f.name: f.dataType for f in [*queries.schema.fields, *corpus.schema.fields]}
     schema = T.StructType([T.StructField(query, kinds[query]), T.StructField(item, kinds[item]), T.StructField("score", T.DoubleType())])
-    n = queries.count()
-    blocks = -(-n // BLOCK)
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64(query), F.lit(max(blocks, 1))))
-    out: DataFrame | None = None
-    for b in range(blocks):
-        rows = dealt.filter(F.col("_b") == b).select(query, vector).toArrow()
-        ids = rows.column(query).to_pylist()
-        if not ids:
-            continue
-        matrix = np.array(rows.column(vector).to_pylist(), np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_pylist()
-                both = np.round(np.array(batch.column(1).to_pylist(), np.float64) @ matrix.T, digits) + 0.0
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(own, kind="stable"))[:, None], both.shape), -both), axis=0)
-                deep = min(k + exclude_self, len(own))
-                best = order[:deep].T.ravel()
-                asked = np.repeat(np.arange(len(ids)), deep)
-                values = both[best, asked]
-                keep = [i for i in range(len(best)) if not (exclude_self and own[best[i]] == ids[asked[i]])]
-                yield pa.RecordBatch.from_pydict({query: [ids[asked[i]] for i in keep], item: [own[best[i]] for i in keep], "score": [float(values[i]) for i in keep]}, schema=_arrow(schema))
-
-        made = corpus.select(item, vector).mapInArrow(run, schema)
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        out = corpus.sparkSession.createDataFrame([], schema)
-    return top_k(out, [query], "score", item, k)
+    own, out_schema, slack = queries.select(F.col(query).alias("_key"), F.col(vector).alias("_v")), _arrow(schema), 10.0**-digits
+    n, m, cores = own.count(), corpus.count(), queries.sparkSession.sparkContext.defaultParallelism
+    # small tables are cut finer, so that all cores have a block
+    across, down = max(-(-m // CORPUS_BLOCK), 1), max(-(-n // BLOCK), min(2 * cores, -(-n // 1024)), 1)
+
+    def blocks(rows: DataFrame, mine: str, count: int, other: str, others: int) -> DataFrame:
+        at = F.pmod(F.xxhash64("_key"), F.lit(count)).alias(mine)
+        return rows.select("_key", "_v", at, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+
+    def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array(table.column("_key").to_pylist())
+        return keys, np.concatenate([np.asarray(x.flatten(), np.float64) for x in table.column("_v").chunks]).reshape(len(keys), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out_schema.empty_table()
+        (ids, q), (items, c) = vectors(left), vectors(right)
+        order = np.argsort(items, kind="stable")  # a smaller place is a smaller item
+        items, c = items[order], c[order]
+        self_at = np.full(len(ids), -1)
+        if exclude_self:
+            place = np.minimum(np.searchsorted(items, ids), len(items) - 1)
+            self_at = np.where(items[place] == ids, place, -1)
+        q32, c32 = q.astype(np.float32), c.astype(np.float32)
+        # bounds of what single precision may be off by: inputs, products, sums
+        norm = np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+        off = (2 * slack + (q.shape[1] + 4) * 1.2e-7 * norm).astype(np.float32)
+        parts = []
+        for a in range(0, len(ids), ROWS):
+            rows, mine = slice(a, a + ROWS), np.arange(a, min(a + ROWS, len(ids)))
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row, place, score
+            least = np.full(len(mine), -np.inf, np.float32)
+            for b in range(0, len(items), COLUMNS):
+                near = q32[rows] @ c32[b : b + COLUMNS].T
+                if exclude_self:
+                    hit = np.flatnonzero((self_at[mine] >= b) & (self_at[mine] < b + COLUMNS))
+                    near[hit, self_at[mine[hit]] - b] = -np.inf
+                floor = least
+                if near.shape[1] > k:  # the k-th best of these columns is a bound, too
+                    fresh = ~np.isfinite(least)
+                    if fresh.any():
+                        floor = least.copy()
+                        floor[fresh] = np.partition(near[fresh], -k, axis=1)[:, -k] - off[mine][fresh]
+                at = np.flatnonzero((near >= floor[:, None]).ravel())
+                i, j = at // near.shape[1], at % near.shape[1]
+                good = near[i, j] > -np.inf
+                i, j = i[good], j[good] + b
+                for cut in range(0, len(i), 1 << 18):
+                    x, y = i[cut : cut + (1 << 18)], j[cut : cut + (1 << 18)]
+                    score = np.round(np.einsum("ij,ij->i", q[a + x], c[y]), digits) + 0.0
+                    best = [np.append(o, v) for o, v in zip(best, (x, y, score), strict=True)]
+                    keep = np.lexsort((best[1], -best[2], best[0]))
+                    row = best[0][keep]
+                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+                    best = [v[keep[nth < k]] for v in best]
+                    full = nth[nth < k] == k - 1
+                    least[best[0][full]] = best[2][full].astype(np.float32) - off[mine][best[0][full]]
+            parts.append(pa.table([pa.array(ids[a + best[0]], out_schema.field(0).type), pa.array(items[best[1]], out_schema.field(1).type), pa.array(best[2])], schema=out_schema))
+        return pa.concat_tables(parts)
+
+    left = blocks(own, "_a", down, "_b", across)
+    right = blocks(corpus.select(F.col(item).alias("_key"), F.col(vector).alias("_v")), "_b", across, "_a", down)
+    # an exchange by number: adaptive execution would put small groups into one task
+    deal = lambda df: df.repartition(min(across * down, 10_000), "_a", "_b")
+    found = deal(left).groupBy("_a", "_b").cogroup(deal(right).groupBy("_a", "_b")).applyInArrow(run, schema)
+    return top_k(found, [query], "score", item, k)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
