@@ -62,6 +62,8 @@ def generate(found: dict[str, DataFrame], query: str, item: str, k: int = 300, q
     out = list_ranks(placed, lists, query, item, names, k)
     if gold is None:
         return out
+    if callable(gold):  # k rows a query, read twice
+        out = out.persist()
     hit = (gold(out.select(query, item)) if callable(gold) else gold).select(query, item).distinct().withColumn("label", F.lit(1))
     out = out.join(hit, [query, item], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     return thin_negatives(out, [query], "label", "cand_rank", item, neg_top, neg_random, seed) if neg_top is not None else out
