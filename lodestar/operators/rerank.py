@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import clip
 from .profile import order_statistics
-from .rank import fractional_rank, places
+from .rank import fractional_rank, gathered, places
 
 # fixed values: features read as logarithms, widths of the embeddings and of the location affinity
 LOG_FEATURES = ("geo_dist_km",)
@@ -138,22 +138,99 @@ def listwise_loss(df: DataFrame, by: str = "qid", score: str = "score", label: s
     return own.groupBy(by).agg((-F.sum(F.col("_t") * F.col("_lp"))).alias("loss"))
 
 
+def packed(df: DataFrame, features: Sequence[str], by: str, label: str) -> DataFrame:
+    """(sizes, target, x, groups) as bytes: df's groups that have a positive, whole and some thousand rows together; target is a positive's equal share.
+
+    Groups are brought together once, so rounds over them shuffle nothing. Rows with a null feature only count among their
+    group's positives. A task holds one block or one group.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    n = len(features)
+    own = df.select(F.col(by).alias("_by"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("_label"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)))
+
+    def block(table: pa.Table) -> pa.RecordBatch:
+        key = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        target, x = table.column(1).to_numpy(), np.column_stack([np.ones(table.num_rows), *(table.column(i + 2).to_numpy() for i in range(n))])[:, 1:]
+        sizes = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+        total = np.add.reduceat(target, np.cumsum(sizes) - sizes)
+        groups, total = int((total > 0).sum()), np.repeat(total, sizes)
+        keep = (total > 0) & ~np.isnan(x).any(1)
+        sizes = np.add.reduceat(keep, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return pa.RecordBatch.from_pydict({"sizes": [sizes[sizes > 0].tobytes()], "target": [(target[keep] / total[keep]).tobytes()], "x": [x[keep].tobytes()], "groups": [groups]}, schema=PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, need = 0, BLOCK
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < need:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            last = int(np.append(-1, np.flatnonzero(key[1:] != key[:-1]))[-1]) + 1  # the last key may go on in the next batch
+            if last:
+                yield block(table.slice(0, last))
+                held, rows = table.slice(last).to_batches(), rows - last
+            need = max(BLOCK, 2 * rows)
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    return gathered(own, ["_by"]).sortWithinPartitions("_by").mapInArrow(run, "sizes binary, target binary, x binary, groups long")
+
+
+#: Rows of a block of groups, and bins of a feature.
+BLOCK, BINS = 8192, 32
+PACKED = pa.schema([("sizes", pa.binary()), ("target", pa.binary()), ("x", pa.binary()), ("groups", pa.int64())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], kinds: Sequence[type]) -> Iterator[list[np.ndarray]]:
+    """The arrays of each row, those of empty blocks left out."""
+    for batch in batches:
+        for row in zip(*(batch.column(i) for i in range(len(kinds))), strict=True):
+            out = [np.frombuffer(x.as_buffer(), k) for x, k in zip(row, kinds, strict=True)]
+            if len(out[0]):
+                yield out
+
+
+def _softmax(score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    first = np.cumsum(sizes) - sizes
+    e = np.exp(score - np.repeat(np.maximum.reduceat(score, first), sizes))
+    return e / np.repeat(np.add.reduceat(e, first), sizes)
+
+
+def _added(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum of what part makes of each task's rows; the driver holds one array a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"v": [part(batches).astype(np.float64).tobytes()]})
+
+    return np.sum([np.frombuffer(r["v"]) for r in df.mapInArrow(run, "v binary").collect()], axis=0)
+
+
 def fit_listwise(df: DataFrame, features: Sequence[str], by: str = "qid", label: str = "label", rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a linear scorer under the listwise loss, by gradient descent with Adam; each round is one aggregation of all groups.
+    """Weights of a linear scorer under the listwise loss, by gradient descent with Adam; each round is one pass over all groups as packed() has them.
 
     The network is trained by network.fit_mlp.
     """
-    data = df.select(by, label, *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features))).persist()
-    groups = data.groupBy(by).agg(F.max(label).alias("_best")).filter("_best > 0").count()
-    w, m, v = (np.zeros(len(features)) for _ in range(3))
+    n = len(features)
+    data = packed(df, features, by, label).persist()
+    w, m, v = (np.zeros(n) for _ in range(3))
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            total = np.zeros(n)
+            for sizes, target, x in _blocks(batches, (np.int64, np.float64, np.float64)):
+                x = x.reshape(-1, n)
+                total += (_softmax(x @ w, sizes) - target) @ x
+            return total
+
+        return _added(data.select("sizes", "target", "x"), part)
+
     try:
+        groups = data.agg(F.sum("groups")).first()[0] or 0
         for t in range(1, rounds + 1):
-            s = sum((F.col(f"f{i}") * float(w[i]) for i in range(len(features))), F.lit(0.0))
-            group = Window.partitionBy(by)
-            scored = data.withColumn("_s", s).withColumns({"_top": F.max("_s").over(group), "_n": F.sum(label).over(group)}).filter("_n > 0")
-            prob = scored.withColumn("_e", F.exp(F.col("_s") - F.col("_top"))).withColumn("_g", F.col("_e") / F.sum("_e").over(group) - F.col(label) / F.col("_n"))
-            row = prob.agg(*(F.sum(F.col("_g") * F.col(f"f{i}")).alias(f"g{i}") for i in range(len(features)))).first()
-            g = np.array([row[f"g{i}"] or 0.0 for i in range(len(features))]) / max(groups, 1) + decay * w
+            g = gradient(w) / max(groups, 1) + decay * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     finally:

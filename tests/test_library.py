@@ -195,6 +195,12 @@ def test_places_against_a_sort(spark):
     assert rank.places(df.filter("k = 'k0003'"), [F.col("k")]).first()["place"] == 1
 
 
+def test_places_compares_counted_keys_only(spark):
+    counts = spark.range(100).select((F.col("id") % 7).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    plan = rank.places(counts, [F.col("k")], "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "filter(" in line for line in plan.splitlines())
+
+
 def test_sample_exact_is_the_head_of_the_sort(spark):
     df = spark.createDataFrame([(None,), *((i,) for i in range(5000))], "k long")
     for n in (0, 1, 777, 5001, 9000):
@@ -380,6 +386,42 @@ def test_fit_listwise_learns(spark):
     assert w[0] > 0.5 and w[1] < -0.2
 
 
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    none = spark.sparkContext._jvm.java.util.ArrayList()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_fit_listwise_shuffles_groups_once_and_equals_numpy(spark, monkeypatch):
+    monkeypatch.setattr(rerank, "BLOCK", 7)  # groups lie across batches and blocks
+    monkeypatch.setattr(rank, "TASK_ROWS", 300)
+    r = np.random.default_rng(1)
+    rows = [(q if q else None, int(r.random() < 0.3), *map(float, r.normal(size=2))) for q in range(200) for _ in range(1 + q % 9)]
+    df = spark.createDataFrame(rows, "qid int, label int, a double, b double").cache()
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = rerank.fit_listwise(df, ["a", "b"], rounds=12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert shuffled(spark) - before < 2 * len(rows)
+    groups = {}
+    for q, y, *x in rows:
+        groups.setdefault(q, []).append((y, x))
+    groups = [(np.array([y for y, _ in g]), np.array([x for _, x in g])) for g in groups.values() if any(y for y, _ in g)]
+    w, m, v = (np.zeros(2) for _ in range(3))
+    for t in range(1, 13):
+        g = 1e-4 * w
+        for y, x in groups:
+            e = np.exp(x @ w - (x @ w).max())
+            g = g + (e / e.sum() - y / y.sum()) @ x / len(groups)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert got == pytest.approx(w)
+
+
 def test_fit_boosted_learns_what_a_line_cannot(spark):
     r = random.Random(3)
     rows = [(q, x, y, int((x > 0.5) != (y > 0.5) and r.random() < 0.9)) for q in range(150) for x, y in [(r.random(), r.random()) for _ in range(8)]]
