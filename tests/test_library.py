@@ -347,6 +347,25 @@ def test_split_contracts(spark):
     assert split.SplitConfig.from_json(config.to_json()) == config
 
 
+def test_split_and_catalog_make_pairs_twice(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(e, f"text {e % 40}", i) for e in range(100) for i in range(3)]
+    pairs = spark.createDataFrame(rows, "event_id int, search_query string, item_id int").mapInArrow(counted, "event_id int, search_query string, item_id int")
+    assert split.split_by_text(pairs, split.SplitConfig(val_text_fraction=0.1)).count() == 300
+    assert made.value <= 2 * len(rows)
+    spark.catalog.clearCache()
+    made.value = 0
+    assert split.sample_catalog(pairs, pairs.filter("item_id = 1"), split.SplitConfig(catalog_mode="keep_positives", catalog_size=2)).count() == 2
+    assert made.value <= 2 * len(rows)
+    spark.catalog.clearCache()
+
+
 def test_cutoff_random_order(spark):
     gold = spark.createDataFrame([(1, True, False), (1, False, True)], "q int, in_filters boolean, in_geo boolean")
     sizes = spark.createDataFrame([(1, 100, 10, 50, 0)], "q int, n_all int, n_filters int, n_geo int, n_both int")
