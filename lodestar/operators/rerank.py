@@ -306,7 +306,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], by: str = "qid", label:
 
 
 def ensemble(df: DataFrame, scores: Sequence[str], by: Sequence[str] = ("qid",), name: str = "score") -> DataFrame:
-    """Sum of the scores' fractional ranks within each query."""
+    """Sum of the scores' fractional ranks within each query. Sorts of all scores run in one task, so its rows are bounded."""
+    df = gathered(df, by)
     return df.withColumn(name, sum((fractional_rank(s, by) for s in scores), F.lit(0.0)))
 
 

@@ -239,6 +239,13 @@ def test_fractional_rank(spark):
     assert sorted(r[0] for r in df.select(rank.fractional_rank("s", ["q"])).collect()) == [0.375, 0.375, 0.75, 1.0]
 
 
+def test_ensemble_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(rank, "TASK_ROWS", 50)
+    df = spark.createDataFrame([(q, i, float(i), float(-i % 7)) for q in range(200) for i in range(5)], "qid int, item_idx int, a double, b double")
+    got = rerank.ensemble(df, ["a", "b"])
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 1000
+
+
 def test_dense_search_is_exact_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK", 3)
     v = np.random.default_rng(0).normal(size=(20, 4)).round(1)
