@@ -139,10 +139,10 @@ def listwise_loss(df: DataFrame, by: str = "qid", score: str = "score", label: s
 
 
 def packed(df: DataFrame, features: Sequence[str], by: str, label: str) -> DataFrame:
-    """(sizes, target, x, groups) as bytes: df's groups that have a positive, whole and some thousand rows together; target is a positive's equal share.
+    """(sizes, target, x, groups, nulls): df's groups that have a positive, whole and some thousand rows together; target is a positive's equal share.
 
     Groups are brought together once, so rounds over them shuffle nothing. Rows with a null feature only count among their
-    group's positives. A task holds one block or one group.
+    group's positives, and in nulls. A task holds one block or one group.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     n = len(features)
@@ -156,7 +156,7 @@ def packed(df: DataFrame, features: Sequence[str], by: str, label: str) -> DataF
         groups, total = int((total > 0).sum()), np.repeat(total, sizes)
         keep = (total > 0) & ~np.isnan(x).any(1)
         sizes = np.add.reduceat(keep, np.cumsum(sizes) - sizes, dtype=np.int64)
-        return pa.RecordBatch.from_pydict({"sizes": [sizes[sizes > 0].tobytes()], "target": [(target[keep] / total[keep]).tobytes()], "x": [x[keep].tobytes()], "groups": [groups]}, schema=PACKED)
+        return pa.RecordBatch.from_pydict({"sizes": [sizes[sizes > 0].tobytes()], "target": [(target[keep] / total[keep]).tobytes()], "x": [x[keep].tobytes()], "groups": [groups], "nulls": [int(((total > 0) & ~keep).sum())]}, schema=PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,12 +176,12 @@ def packed(df: DataFrame, features: Sequence[str], by: str, label: str) -> DataF
         if held:
             yield block(pa.Table.from_batches(held))
 
-    return gathered(own, ["_by"]).sortWithinPartitions("_by").mapInArrow(run, "sizes binary, target binary, x binary, groups long")
+    return gathered(own, ["_by"]).sortWithinPartitions("_by").mapInArrow(run, "sizes binary, target binary, x binary, groups long, nulls long")
 
 
 #: Rows of a block of groups, and bins of a feature.
 BLOCK, BINS = 8192, 32
-PACKED = pa.schema([("sizes", pa.binary()), ("target", pa.binary()), ("x", pa.binary()), ("groups", pa.int64())])
+PACKED = pa.schema([("sizes", pa.binary()), ("target", pa.binary()), ("x", pa.binary()), ("groups", pa.int64()), ("nulls", pa.int64())])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], kinds: Sequence[type]) -> Iterator[list[np.ndarray]]:
@@ -268,40 +268,171 @@ class Boosted:
         return cls(d["features"], d["trees"], d["importance"])
 
 
+def _cuts(data: DataFrame, n: int) -> list[np.ndarray]:
+    """At most BINS - 1 cuts of each of the n features of packed data: all values if they are at most BINS, else exact quantiles of all rows.
+
+    Quantiles are found byte by byte of the values' ordered bits, from counts alone; nothing is sorted or shuffled.
+    """
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.zeros(0)] * n
+        for _, x in _blocks(batches, (np.int64, np.float64)):
+            for f, column in enumerate(x.reshape(-1, n).T):
+                if len(seen[f]) <= BINS:  # one more than fit says enough
+                    seen[f] = np.union1d(seen[f], column + 0.0)[: BINS + 1]
+        yield pa.RecordBatch.from_pydict({"v": [v.tobytes() for v in seen]})
+
+    found = data.select("sizes", "x").mapInArrow(distinct, "v binary").collect()  # a task's n rows follow each other
+    values = [np.unique(np.concatenate([np.zeros(0), *(np.frombuffer(r["v"]) for r in found[f::n])])) for f in range(n)]
+    many = [f for f in range(n) if len(values[f]) > BINS]
+    prefix, rest = {f: np.zeros(BINS - 1, np.uint64) for f in many}, {}
+    for shift in range(56, -8, -8) if many else ():
+        wanted = [np.unique(prefix[f]) for f in many]
+
+        def counts(batches: Iterator[pa.RecordBatch], wanted=wanted, shift=np.uint64(shift)) -> np.ndarray:
+            total = [np.zeros(256 * len(w)) for w in wanted]
+            for _, x in _blocks(batches, (np.int64, np.float64)):
+                x = x.reshape(-1, n)
+                for t, f, w in zip(total, many, wanted, strict=True):
+                    bits = (x[:, f] + 0.0).view(np.uint64)
+                    key = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63)) >> shift
+                    above = key >> np.uint64(8)
+                    at = np.minimum(np.searchsorted(w, above), len(w) - 1)
+                    hit = w[at] == above
+                    t += np.bincount(at[hit] * 256 + (key[hit] & np.uint64(255)).astype(np.int64), minlength=len(t))
+            return np.concatenate(total)
+
+        own = np.split(_added(data.select("sizes", "x"), counts), np.cumsum([256 * len(w) for w in wanted])[:-1])
+        for f, w, t in zip(many, wanted, own, strict=True):
+            upto = np.cumsum(t.reshape(-1, 256), axis=1)
+            if f not in rest:  # the first byte's counts tell how many rows there are
+                rest[f] = np.ceil(np.arange(1, BINS) * upto[0, -1] / BINS) - 1
+            row = np.searchsorted(w, prefix[f])
+            byte = (upto[row] <= rest[f][:, None]).sum(1)
+            rest[f] = rest[f] - np.where(byte > 0, upto[row, byte - 1], 0)
+            prefix[f] = prefix[f] << np.uint64(8) | byte.astype(np.uint64)
+    for f in many:
+        key = np.unique(prefix[f])
+        values[f] = np.append(np.where(key >> np.uint64(63), key ^ np.uint64(1 << 63), ~key).view(np.float64), np.inf)
+    return [v[:-1] for v in values]
+
+
+def _placed(bins: np.ndarray, levels: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Each column's node below the given levels of a tree, numbered from left to right."""
+    at, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
+    for feature, last in levels:
+        at = 2 * at + ((bins[feature[at], rows] if len(feature) > 1 else bins[feature[0]]) > last[at])
+    return at
+
+
+def _summed(bins: np.ndarray, trees: Sequence[tuple[list, np.ndarray]]) -> np.ndarray:
+    """What trees, as (levels, values), give each column of bins."""
+    return sum((values[_placed(bins, levels)] for levels, values in trees), np.zeros(bins.shape[1]))
+
+
+def _grown(data: DataFrame, later: Sequence[tuple[list, np.ndarray]], cuts: Sequence[np.ndarray], depth: int, rate: float, least: int) -> tuple[dict, np.ndarray, tuple[list, np.ndarray]]:
+    """(tree, its gains by feature, the same tree for _summed): a regression tree of the gradient, one pass over data a level.
+
+    later: trees that aren't in data's scores yet.
+
+    A split gains by how much it lowers the squares' sum; of equal ones the first feature's lowest stays. A leaf's step is Newton's.
+    """
+    n = len(cuts)
+    root: dict = {}
+    nodes, levels, gains, values, sums = [root], [], np.zeros(n), np.zeros(2**depth), [None]
+    step = lambda t: float(rate * t[1] / (t[2] + 1e-3))
+    for level in range(depth):
+
+        def histograms(batches: Iterator[pa.RecordBatch], size=BINS * len(nodes)) -> np.ndarray:
+            total = np.zeros((n, 3, size))
+            for sizes, target, score, bins in _blocks(batches, STEPPED):
+                bins = bins.reshape(n, -1)
+                p = _softmax(score + _summed(bins, later), sizes)
+                at, g, h = _placed(bins, levels) * BINS, target - p, p * (1 - p)
+                for f in range(n):
+                    for i, w in enumerate((None, g, h)):
+                        total[f, i] += np.bincount(at + bins[f], w, size)
+            return total.ravel()
+
+        made = _added(data.select("sizes", "target", "score", "bins"), histograms).reshape(n, 3, len(nodes), BINS)
+        feature, last = np.zeros(len(nodes), np.int64), np.full(len(nodes), BINS)  # a leaf's rows all go left
+        below, inner = [], []
+        for i, node in enumerate(nodes):
+            upto = np.cumsum(made[:, :, i], axis=2)
+            whole = upto[0, :, -1]
+            best, gain = None, 1e-10 * whole[1] ** 2 / max(whole[0], 1)  # no more than rounding can make
+            for f in range(n) if node is not None else ():
+                left, right = upto[f, :, : len(cuts[f])], upto[f, :, -1:] - upto[f, :, : len(cuts[f])]
+                fits = np.flatnonzero((left[0] >= max(least, 1)) & (right[0] >= max(least, 1)))
+                if len(fits):
+                    own = left[1, fits] ** 2 / left[0, fits] + right[1, fits] ** 2 / right[0, fits] - whole[1] ** 2 / whole[0]
+                    if own.max() > gain:
+                        best, gain = (f, int(fits[own.argmax()])), own.max()
+            if best is None:
+                if node is not None:
+                    node["value"] = values[i << (depth - level)] = step(whole if sums[i] is None else sums[i])
+                below, inner = [*below, None, None], [*inner, None, None]
+                continue
+            f, j = best
+            gains[f] += gain
+            feature[i], last[i] = f, j
+            node |= {"feature": f, "at": float(cuts[f][j]), "left": {}, "right": {}}
+            below, inner = [*below, node["left"], node["right"]], [*inner, upto[f, :, j], upto[f, :, -1] - upto[f, :, j]]
+        levels, nodes, sums = [*levels, (feature, last)], below, inner
+    for i, node in enumerate(nodes):
+        if node is not None:
+            node["value"] = values[i] = step(sums[i])
+    return root, gains, (levels, values)
+
+
+#: Arrays of a row of what _grown reads.
+STEPPED = (np.int64, np.float64, np.float64, np.uint8)
+
+
 def fit_boosted(df: DataFrame, features: Sequence[str], by: str = "qid", label: str = "label", rounds: int = 20, depth: int = 3, rate: float = 0.3, least: int = 20) -> Boosted:
     """Gradient boosting under the listwise loss: each round's tree is fitted to the loss's gradient at the scores so far.
 
-    Trees are grown by Spark on histograms of all rows; each leaf's step is Newton's, from the sums of its rows. Groups
-    without a positive teach nothing. features must have no nulls.
+    Groups are packed once and features cut into bins once; trees are grown on histograms of all rows' bins, a pass over all groups a
+    level, and passes shuffle nothing. Each leaf's step is Newton's, from the sums of its rows. Groups without a positive teach
+    nothing. features must have no nulls. depth is 1 or more.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
+    n, every = len(features), max(1, round((rounds / depth) ** 0.5))
+    data = packed(df, features, by, label).persist()
+    kept, trees, later = [data], [], []
+    model = Boosted(features, [], np.zeros(n))
 
-    group = Window.partitionBy(by)
-    own = df.select(by, label, *(F.col(c).cast("double").alias(c) for c in features)).withColumn("_n", F.sum(label).over(group)).filter("_n > 0")
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(own).persist()
-    model = Boosted(features, [], np.zeros(len(features)))
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sizes, target, x in _blocks(batches, (np.int64, np.float64, np.float64)):
+            own = [np.searchsorted(c, v).astype(np.uint8) for c, v in zip(cuts, x.reshape(-1, n).T, strict=True)]
+            yield pa.RecordBatch.from_pydict({"sizes": [sizes.tobytes()], "target": [target.tobytes()], "score": [np.zeros(len(target)).tobytes()], "bins": [np.concatenate(own).tobytes()]})
+
+    schema = "sizes binary, target binary, score binary, bins binary"
     try:
-        for _ in range(rounds):
-            scored = data.withColumn("_s", model.score()).withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(group)))
-            p = F.col("_e") / F.sum("_e").over(group)
-            steps = scored.withColumn("_p", p).withColumns({"_g": F.col(label) / F.col("_n") - F.col("_p"), "_h": F.col("_p") * (1 - F.col("_p"))}).select("_x", "_g", "_h").persist()
-            tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=depth, minInstancesPerNode=least, seed=0).setLeafCol("_leaf").fit(steps)
-            sums = tree.transform(steps).groupBy("_leaf").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()  # one row a leaf
-            leaf = {int(r["_leaf"]): rate * r["g"] / (r["h"] + 1e-3) for r in sums}
-            steps.unpersist()
-            order = iter(range(2**depth))  # leaves are numbered from left to right
-
-            def node(n, leaf=leaf, order=order):
-                if n.numDescendants() == 0:
-                    return {"value": leaf.get(next(order), 0.0)}
-                split = n.split()
-                return {"feature": split.featureIndex(), "at": split.threshold(), "left": node(n.leftChild(), leaf, order), "right": node(n.rightChild(), leaf, order)}
-
-            model.trees.append(node(tree._java_obj.rootNode()))
-            model.importance = [a + float(b) for a, b in zip(model.importance, tree.featureImportances.toArray(), strict=True)]
+        if data.agg(F.sum("nulls")).first()[0]:
+            raise ValueError("fit_boosted: features have nulls")
+        cuts = _cuts(data, n)
+        base = scored = data.select("sizes", "target", "x").mapInArrow(binned, schema).persist()
+        kept.append(base)
+        for t in range(rounds):
+            tree, gains, made = _grown(scored, later, cuts, depth, rate, least)
+            data.unpersist()  # base was read whole by now
+            model.trees.append(tree)
+            model.importance = [a + float(b) for a, b in zip(model.importance, gains / (gains.sum() or 1.0), strict=True)]
+            trees, later = [*trees, made], [*later, made]
+            if len(later) == every and t + 1 < rounds:
+                # always from base: each table made from the last one would nest all plans before it
+
+                def summed(batches: Iterator[pa.RecordBatch], trees=trees) -> Iterator[pa.RecordBatch]:
+                    for sizes, target, score, bins in _blocks(batches, STEPPED):
+                        yield pa.RecordBatch.from_pydict({"sizes": [sizes.tobytes()], "target": [target.tobytes()], "score": [(score + _summed(bins.reshape(n, -1), trees)).tobytes()], "bins": [bins.tobytes()]})
+
+                if scored is not base:
+                    kept.pop().unpersist()
+                scored, later = base.mapInArrow(summed, schema).persist(), []
+                kept.append(scored)
     finally:
-        data.unpersist()
+        for x in kept:
+            x.unpersist()
     return model
 
 

@@ -666,3 +666,27 @@ def test_query(spark, sf_dir, db, name):
         assert sorted(want.columns) == cols
         assert got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
     spark.catalog.clearCache()
+
+
+def test_boosting_shuffles_its_rows_once_and_cuts_at_exact_quantiles(spark):
+    r = random.Random(5)
+    rows = [(q, r.gauss(0, 50), float(r.randint(-2, 2)), int(r.random() < 0.3)) for q in range(900) for _ in range(6)]
+    df = spark.createDataFrame(rows, "qid int, x double, y double, label int")
+    taught = {q for q, _, _, y in rows if y}
+    x = np.array([v for q, v, _, _ in rows if q in taught])
+    data = rerank.packed(df, ["x", "y"], "qid", "label")
+    cuts = rerank._cuts(data, 2)
+    # the smallest value with a share of i / 32 of the rows up to it
+    assert list(cuts[0]) == [np.sort(x)[-(-i * len(x) // 32) - 1] for i in range(1, 32)]
+    assert list(cuts[1]) == [-2, -1, 0, 1]
+    model = rerank.fit_boosted(df, ["x", "y"], rounds=2, depth=2)
+    assert {t["at"] for t in model.trees} <= {*cuts[0], *cuts[1]}
+    # a depth-first replay of the second tree's root: the best gain over all cuts at the scores after the first
+    scored = spark.createDataFrame([(q, a, b, y) for q, a, b, y in rows if q in taught], df.schema).withColumn("s", rerank.Boosted(["x", "y"], model.trees[:1], [0, 0]).score())
+    got = scored.toPandas()
+    e = np.exp(got.s - got.groupby("qid").s.transform("max"))
+    g = (got.label / got.groupby("qid").label.transform("sum") - e / e.groupby(got.qid).transform("sum")).to_numpy()
+    best = max((g[m].sum() ** 2 / m.sum() + g[~m].sum() ** 2 / (~m).sum(), f, c) for f, name in enumerate("xy") for c in cuts[f] for m in [(got[name] <= c).to_numpy()])
+    assert (model.trees[1]["feature"], model.trees[1]["at"]) == best[1:]
+    with pytest.raises(ValueError, match="nulls"):
+        rerank.fit_boosted(df.withColumn("y", F.when(F.col("x") > 0, F.col("y"))), ["x", "y"], rounds=1)
