@@ -4,6 +4,7 @@ import datetime
 import json
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -334,6 +335,31 @@ def test_leave_one_out_is_the_statistic_without_the_event(spark):
                 assert loo[tuple(x[c] for c in pairs.columns)] == tuple(x[c] for c in cols)
 
 
+def test_counters_deal_rows_by_event_and_item_only(spark):
+    r = random.Random(4)
+    value = lambda n: None if r.random() < 0.1 else r.randint(0, n)
+    rows = [(value(30), None if r.random() < 0.1 else r.choice("abc"), value(2), value(6), value(3), value(2)) for _ in range(300)]
+    schema = "event_id int, search_query string, search_location_id int, item_id int, item_microcat_id int, item_location_id int"
+    pairs = spark.createDataFrame(rows, schema)
+    at = {k: i for i, k in enumerate(pairs.columns)}
+
+    def count(row, keys):
+        return 0 if any(row[at[k]] is None for k in keys) else sum(all(x[at[k]] == row[at[k]] for k in keys) for x in rows)
+
+    def wanted(row):
+        own = {n: count(row, of) - count(row, ("event_id", *less)) for n, (of, less) in stats.COUNTERS.items()}
+        events = 0 if row[1] is None else len({x[0] for x in rows if x[1] == row[1]} - {None})
+        return (*own.values(), events - (row[0] is not None))
+
+    got = stats.counters(pairs, pairs, True)
+    cols = [*stats.COUNTERS, "text_events"]
+    assert sorted((str(tuple(x[c] for c in pairs.columns)), tuple(x[c] for c in cols)) for x in got.collect()) == sorted((str(x), wanted(x)) for x in rows)
+    # neither an event nor an item is dealt together with another key of the counters
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item_id" in plan and "hashpartitioning(event_id" in plan
+    assert not any(s in re.sub(r"#\d+L?", "", plan) for s in ("hashpartitioning(event_id, item", "hashpartitioning(search_query, item_id"))
+
+
 def test_split_contracts(spark):
     rows = [(e, f"text {e % 40}", i) for e in range(400) for i in range(3)]
     config = split.SplitConfig(val_text_fraction=0.1, catalog_size=2)
